@@ -19,11 +19,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import id_text, rows_of
+from .common import id_text
 
-_LOWER = bytes(range(97, 123))
 #: A-Z to a-z; bytes of no word (0x00-0x2F, 0x3A-0x60, 0x7B-0x7F) to a space.
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -31,9 +33,9 @@ _TABLE = bytes(
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words of a text as UTF-8, lower-cased in A-Z only; null has none."""
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
+def words(raw: bytes | None) -> list[bytes]:
+    """Words of a UTF-8 text, lower-cased in A-Z only; null has none."""
+    return raw.translate(_TABLE).split() if raw else []
 
 
 class WaveletMatrix:
@@ -140,7 +142,7 @@ class Phrases:
         ids: dict[bytes, int] = {}
         by_window: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
-            s = [ids.setdefault(w, len(ids) + 2) for w in words(text)]
+            s = [ids.setdefault(w, len(ids) + 2) for w in words(text.encode() if text else None)]
             for i in range(max(1, len(s) - window + 1) if s else 0):
                 by_window.setdefault(tuple(s[i : i + window]), set()).add(str(item))
         self.ids, self.sigma = ids, len(ids) + 2
@@ -188,7 +190,7 @@ class Shard:
             self.size += b - a + 1
 
     def hits(self) -> dict[int, tuple[np.ndarray, set[str]]]:
-        """For each document with a hit: places of the words hit, and the items."""
+        """For each document with a hit: places of the words hit (ascending), and the items."""
         if not self.symbols:
             return {}
         p = self.p
@@ -221,25 +223,67 @@ class Shard:
         return out
 
 
-def word_spans(text: str, places: np.ndarray) -> list[tuple[int, int]]:
-    """Code-point spans of the words at ``places``; neighbouring words merge to one span."""
-    raw = text.encode("utf-8", "surrogatepass")
+def word_spans(raw: bytes, places: np.ndarray) -> list[tuple[int, int]]:
+    """Byte spans of the words at ``places``; neighbouring words merge to one span."""
     bounds = [(m.start(), m.end()) for m in _WORD.finditer(raw)]
     cut = np.flatnonzero(np.diff(places) != 1) + 1
-    lead = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-    chars = np.concatenate([[0], lead])
-    return [
-        (int(chars[bounds[int(p[0])][0]]), int(chars[bounds[int(p[-1])][1]])) for p in np.split(places, cut) if len(p)
-    ]
+    return [(bounds[int(p[0])][0], bounds[int(p[-1])][1]) for p in np.split(places, cut) if len(p)]
 
 
-def without(text: str, spans: list[tuple[int, int]]) -> str:
+def code_points(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte spans as spans of code points."""
+    if not spans:
+        return []
+    chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+    return [(int(chars[a]), int(chars[b])) for a, b in spans]
+
+
+def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text less some spans (sorted, disjoint)."""
     out, at = [], 0
     for a, b in spans:
-        out.append(text[at:a])
+        out.append(raw[at:a])
         at = b
-    return "".join([*out, text[at:]])
+    return b"".join([*out, raw[at:]])
+
+
+class Searcher:
+    """Feeds documents to shards of bounded size and gives the hits of each shard."""
+
+    def __init__(self, items: list[tuple[int, str | None]], window: int, shard_symbols: int) -> None:
+        self.phrases, self.most = Phrases(items, window), shard_symbols
+        self.shard, self.rows, self.kept = Shard(self.phrases), [], 0
+
+    def add(self, raw: bytes | None, keep: bool, *more: object) -> None:
+        p, w = self.phrases, words(raw)
+        found = []
+        if len(w) >= p.shortest > 0:
+            s = np.fromiter(map(p.ids.get, w, repeat(0)), np.int64, len(w))
+            if found := p.stretches(s):
+                self.shard.add(len(self.rows), s, found)
+        kept = raw if found or keep else None
+        self.rows.append((len(w), kept, more))
+        self.kept += len(kept) if kept else 0
+
+    def full(self) -> bool:
+        return self.shard.size >= self.most or len(self.rows) >= 50_000 or self.kept > 32 << 20
+
+    def flush(self) -> Iterator[tuple[int, bytes | None, tuple, np.ndarray, set[str]]]:
+        """(number of words, text where kept, what came with it, places hit, items) of each row."""
+        hits, none = self.shard.hits(), (np.empty(0, np.int64), set())
+        for k, (n, raw, more) in enumerate(self.rows):
+            yield n, raw, more, *hits.get(k, none)
+        self.shard, self.rows, self.kept = Shard(self.phrases), [], 0
+
+    def cleaned(self, raw: bytes, places: np.ndarray) -> bytes:
+        """The text less its hits, searched again until no window is left."""
+        while len(places):
+            raw = without(raw, word_spans(raw, places))
+            s = np.fromiter(map(self.phrases.ids.get, words(raw), repeat(0)), np.int64)
+            shard = Shard(self.phrases)
+            shard.add(0, s, self.phrases.stretches(s))
+            places = shard.hits().get(0, ((), set()))[0]
+        return raw
 
 
 SCHEMA = (
@@ -247,15 +291,23 @@ SCHEMA = (
 )
 
 
+def _items(benchmark: DataFrame, most: int) -> Broadcast:
+    """The items, sent to the workers once their size is known to be at most ``most`` bytes."""
+    bench = id_text(benchmark, "item_id", "text")
+    size = bench.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"benchmark texts take {size} bytes, more than max_benchmark_bytes={most}")
+    return benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in bench.toLocalIterator()])
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = 10,
-    shard_symbols: int = 2_000_000,
+    shard_symbols: int = 500_000,
     max_benchmark_bytes: int = 64 << 20,
-    with_clean: bool = False,
 ) -> DataFrame:
     """Occurrences of benchmark windows in documents, one row per document row.
 
@@ -263,7 +315,7 @@ def find_contamination(
     A-Z. A window is ``window`` consecutive words of an item; a shorter item is one
     window. Returns doc_id, n_words, n_hit (words inside any occurrence), n_items,
     items (sorted as strings) and spans (code points, end exclusive; touching hit words
-    are one span). ``with_clean`` adds ``clean``, the text less the spans.
+    are one span).
 
     Null or empty texts and texts without words have no words and no hit. Repeated rows
     are each answered. Equal item ids with other texts count as one item; items without
@@ -274,105 +326,73 @@ def find_contamination(
     One scan of the documents, no shuffle. Each task indexes its documents in shards of
     about ``shard_symbols`` candidate words.
     """
-    from pyspark.sql import functions as F
-
-    bench = id_text(benchmark, "item_id", "text")
-    size = bench.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_benchmark_bytes:
-        raise ValueError(f"benchmark texts take {size} bytes, more than max_benchmark_bytes={max_benchmark_bytes}")
-    items = [(r[0], r[1]) for r in bench.toLocalIterator()]
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = _items(benchmark, max_benchmark_bytes)
+    types = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(shared.value, window)
-        shard, rows = Shard(phrases), []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal shard, rows
-            hits = shard.hits()
-            cols: list[list] = [[] for _ in range(7)]
-            for k, (doc, n, text) in enumerate(rows):
-                places, found = hits.get(k, ((), ()))
-                spans = word_spans(text, places) if len(places) else []
-                made = (doc, n, len(places), len(found), sorted(found), [{"start": a, "end": b} for a, b in spans])
-                for c, v in zip(cols, made):
+        found = Searcher(shared.value, window, shard_symbols)
+
+        def flush() -> pa.RecordBatch:
+            cols: list[list] = [[] for _ in names]
+            for n, raw, (doc,), places, items in found.flush():
+                spans = code_points(raw, word_spans(raw, places)) if len(places) else []
+                row = (doc, n, len(places), len(items), sorted(items), [{"start": a, "end": b} for a, b in spans])
+                for c, v in zip(cols, row):
                     c.append(v)
-                cols[6].append(without(text, spans) if with_clean else None)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()),
-                     pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
-            arrays = [pa.array(c, t) for c, t in zip(cols, types)][: 7 if with_clean else 6]
-            shard, rows = Shard(phrases), []
-            yield pa.RecordBatch.from_arrays(
-                arrays, names=["doc_id", "n_words", "n_hit", "n_items", "items", "spans", "clean"][: len(arrays)]
-            )
-
-        get = phrases.ids.get
-        kept = 0
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
         for batch in batches:
-            for doc, text in rows_of(batch, "doc_id", "text"):
-                w = words(text)
-                found = []
-                if len(w) >= phrases.shortest > 0:
-                    s = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
-                    found = phrases.stretches(s)
-                    if found:
-                        shard.add(len(rows), s, found)
-                keep = bool(found) or with_clean
-                rows.append((doc, len(w), text if keep else ""))
-                kept += len(text) if keep else 0
-                if shard.size >= shard_symbols or len(rows) >= 50_000 or kept > 32 << 20:
-                    yield from flush()
-                    kept = 0
-        if rows:
-            yield from flush()
-
-    schema = SCHEMA + (", clean string" if with_clean else "")
-    return id_text(docs, id_col, text_col).mapInArrow(run, schema)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                found.add(raw, False, doc)
+                if found.full():
+                    yield flush()
+        yield flush()
+
+    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+
+
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    shard_symbols: int = 500_000,
+    max_benchmark_bytes: int = 64 << 20,
+) -> DataFrame:
     """The documents with benchmark passages cut out of their texts; all columns stay.
 
-    Needs the column ``text``; a text without hit (null included) stays as it is.
-    The texts are cut in the same scan that finds the passages, so nothing is joined.
+    Needs the column ``text``; a text without hit (null included) stays as it is. A cut
+    text is searched again, so that no window arises where it was joined. A column
+    ``n_chars``, if there is one, is counted anew for texts that were cut. The texts are
+    cut in the scan that finds the passages: nothing is joined or shuffled.
     """
-    from pyspark.sql import functions as F
-
-    names = docs.columns
-    packed = docs.select(
-        F.col("text"), F.monotonically_increasing_id().alias("doc_id"), F.struct(*[F.col(c) for c in names]).alias("row")
-    )
-    shared = _phrases_of(benchmark)
+    shared = _items(benchmark, max_benchmark_bytes)
+    names, schema = docs.columns, docs.schema
+    at = names.index("text")
+    count = names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(shared.value, window)
-        get = phrases.ids.get
+        found = Searcher(shared.value, window, shard_symbols)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            shard = Shard(phrases)
-            for k, text in enumerate(texts):
-                w = words(text)
-                if len(w) >= phrases.shortest > 0:
-                    s = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
-                    if found := phrases.stretches(s):
-                        shard.add(k, s, found)
-            for k, (places, _) in shard.hits().items():
-                texts[k] = without(texts[k], word_spans(texts[k], places))
-            row = batch.column(2)
-            arrays = [pa.array(texts, pa.string()) if c == "text" else row.field(i) for i, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return packed.mapInArrow(run, docs.schema)
-
-
-def _phrases_of(benchmark: DataFrame, most: int = 64 << 20):
-    from pyspark.sql import functions as F
-
-    bench = id_text(benchmark, "item_id", "text")
-    size = bench.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > most:
-        raise ValueError(f"benchmark texts take {size} bytes, more than {most}")
-    return benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in bench.toLocalIterator()])
+            cols = list(batch.columns)
+            texts = cols[at].cast(pa.binary()).to_pylist()
+            for k, raw in enumerate(texts):
+                found.add(raw, False, k)
+            new = {
+                k: found.cleaned(raw, places) for _, raw, (k,), places, _ in list(found.flush()) if len(places)
+            }
+            if new:
+                cols[at] = pa.array([new.get(k, raw) for k, raw in enumerate(texts)], pa.binary()).cast(cols[at].type)
+                if count >= 0:
+                    old = cols[count].to_pylist()
+                    cols[count] = pa.array(
+                        [len(new[k].decode()) if k in new else v for k, v in enumerate(old)], cols[count].type
+                    )
+            yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
+
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(
+        run, StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    ).toDF(*names)
 
 
 def items_sha256(items: list[str]) -> str:
