@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +95,29 @@ def by_bytes(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -
             end = max(at + 1, int(np.searchsorted(total, base + most, side="right")))
             yield b.slice(at, end - at)
             at = end
+
+
+def flat_bytes(col: pa.Array):
+    """The bytes of a string column and the row boundaries in them (a null row is empty)."""
+    import numpy as np
+
+    if col.null_count:
+        col = pa.compute.fill_null(col, "")
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    if data is None or not len(col):
+        return np.empty(0, np.uint8), np.zeros(len(col) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows if there are at most ``most`` of them, else about ``most``, chosen by a hash of ``key``.
+
+    Only ``key`` is read to count the rows. The choice does not depend on their order.
+    """
+    n = df.select(key).count()
+    if n <= most:
+        return df
+    share = int(most / n * (1 << 30))
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(20_483)), F.lit(1 << 30)) < share)

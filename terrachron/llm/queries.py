@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam
+from . import decontam, secrets, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN hit USING (k) LEFT JOIN items USING (k)
 """
 
+
+
+def _span_list(kinds: str = "kinds", starts: str = "starts", ends: str = "ends") -> Column:
+    """Three arrays as an array of kind:start:end, in their order."""
+    return F.transform(
+        F.arrays_zip(F.col(kinds).alias("k"), F.col(starts).alias("a"), F.col(ends).alias("e")),
+        lambda s: F.concat_ws(":", s["k"], s["a"], s["e"]),
+    )
+
+
+def _of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
+    return F.filter(spans, lambda s: F.substring_index(s, ":", 1).isin(*kinds))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; the kinds after ``hex`` are those that structure confirms."""
+    base = secrets.KINDS[:3]
+    df = secrets.find_secrets(_table(spark, sf_dir, "documents")).withColumn("s", _span_list())
+    return df.select(
+        "doc_id",
+        *[F.size(_of_kinds(F.col("s"), (k,))).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(F.array_join(_of_kinds(F.col("s"), base), ","), 256).alias("base_sha256"),
+        F.array_join("s", ",").alias("spans"),
+    )
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), path).withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_secrets": op2_secrets,
+    "op9_tokens": op9_tokens,
 }
 
 SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
