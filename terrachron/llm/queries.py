@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, secrets, tokens
+from . import decontam, langid, secrets, tokens, topk
+from .common import crc_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,10 +89,45 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), path).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every 20th vector over all vectors, components times 64 as integers."""
+
+    def whole(x: Column) -> Column:
+        x = x.cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.floor(x * 64).cast("double"))
+
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", whole).alias("v"))
+    return topk.top_k(v, v.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v AS q JOIN v AS c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents; one fold of four of the labels is never learned from."""
+    fold = crc_fold("doc_id", 4)
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.learn_and_identify(docs, fold != 2)
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
+    "op7_top_k": op7_top_k,
     "op9_tokens": op9_tokens,
+    "op10_language": op10_language,
 }
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op7_top_k": OP7_SQL}
