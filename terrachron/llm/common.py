@@ -87,7 +87,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -
     for b in batches:
         if not b.num_rows:
             continue
-        size = pa.compute.binary_length(b.column(b.schema.get_field_index(text))).to_numpy(zero_copy_only=False)
+        size = pa.compute.binary_length(b.column(b.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
         total = np.cumsum(size.astype(np.int64))
         at = 0
         while at < b.num_rows:

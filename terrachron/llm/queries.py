@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, secrets, tokens, topk
+from . import decontam, langid, secrets, tokens, topk, toxicity
 from .common import crc_fold
 
 
@@ -81,6 +81,23 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxic_lexicon(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
+    """The lexicon learned without the held-out fold of the labels."""
+    return toxicity.learn_lexicon(docs, labels.where(crc_fold("doc_id", 3) != 1))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; one fold of three of the labels is never learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score_toxicity(docs, toxic_lexicon(docs, _table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id",
+        F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     import public_tokenizers
@@ -126,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
     "op7_top_k": op7_top_k,
+    "op8_toxicity": op8_toxicity,
     "op9_tokens": op9_tokens,
     "op10_language": op10_language,
 }
