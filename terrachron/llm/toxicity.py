@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Texts are folded first: case, accents, homoglyphs, and digits or signs that stand for
-letters. Hits of the lexicon (words, or stems that take any ending) count by weight, less
+Texts are folded first: case, homoglyphs, and digits or signs that stand for letters;
+whole words without accents in the lexicon match accented forms too. Hits of the lexicon (words, or stems that take any ending) count by weight, less
 those in exception phrases, and are set against the length of the text.
 """
 
@@ -42,7 +42,7 @@ class _Folding(dict):
         if unicodedata.category(x) in ("Cf", "Mn"):
             out = None
         else:
-            y = unicodedata.normalize("NFKD", x)[:1] or x
+            y = unicodedata.normalize("NFKC", x)[:1] or x
             y = _HOMOGLYPHS.get(y, y).lower()[:1]
             y = _HOMOGLYPHS.get(y, y)
             out = _DIGITS.get(y, y) if y.isalnum() else " "
@@ -50,7 +50,15 @@ class _Folding(dict):
         return out
 
 
-_FOLDING = _Folding()
+class _Bare(dict):
+    """Letters without their accents; a character stays one character."""
+
+    def __missing__(self, c: int) -> str:
+        out = self[c] = unicodedata.normalize("NFKD", chr(c))[:1] or chr(c)
+        return out
+
+
+_FOLDING, _BARE = _Folding(), _Bare()
 
 
 def fold(text: str) -> str:
@@ -69,26 +77,30 @@ class Lexicon:
     bias: float = -2.0
     by_count: float = 1.5
     by_density: float = 1.0
-    automaton: object = field(default=None, repr=False, compare=False)
+    automata: list = field(default_factory=list, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "automaton": None}
+        return {**self.__dict__, "automata": []}
 
-    def matcher(self):
-        if self.automaton is None:
+    def matchers(self) -> list:
+        """For folded texts; for texts without accents (None if no term matches there)."""
+        if not self.automata:
             import ahocorasick
 
-            a = ahocorasick.Automaton()
-            entries: dict[str, list] = defaultdict(list)
-            for t, w in self.weights.items():
-                entries[" " + t.rstrip("*") + ("" if t.endswith("*") else " ")].append((w, t))
-            for p in self.exceptions:
-                entries[" " + p + " "].append((None, p))
-            for k, v in entries.items():
-                a.add_word(k, (len(k), v))
-            a.make_automaton()
-            self.automaton = a
-        return self.automaton
+            for bare in (False, True):
+                a = ahocorasick.Automaton()
+                entries: dict[str, list] = defaultdict(list)
+                for t, w in self.weights.items():
+                    if not bare or t.isascii() and not t.endswith("*"):
+                        entries[" " + t.rstrip("*") + ("" if t.endswith("*") else " ")].append((w, t))
+                for p in self.exceptions:
+                    entries[" " + p + " "].append((None, p))
+                for k, v in entries.items():
+                    a.add_word(k, (len(k), v))
+                if entries:
+                    a.make_automaton()
+                self.automata.append(a if entries else None)
+        return self.automata
 
     def hits(self, folded: str) -> list[tuple[float, str]]:
         """(weight, term) of every word that a term matches, one per word, but for those in exceptions."""
@@ -96,13 +108,14 @@ class Lexicon:
             return []
         words: dict[int, tuple[float, str]] = {}
         spared: list[tuple[int, int]] = []
-        for end, (n, found) in self.matcher().iter(" " + folded + " "):
-            for w, t in found:
-                start = end - n + 1
-                if w is None:
-                    spared.append((start, end))
-                elif start not in words or w > words[start][0]:
-                    words[start] = (w, t)
+        for a, text in zip(self.matchers(), (folded, "" if folded.isascii() else folded.translate(_BARE))):
+            for end, (n, found) in a.iter(" " + text + " ") if a is not None and text else ():
+                for w, t in found:
+                    start = end - n + 1
+                    if w is None:
+                        spared.append((start, end))
+                    elif start not in words or w > words[start][0]:
+                        words[start] = (w, t)
         return [x for at, x in words.items() if not any(a <= at < e for a, e in spared)]
 
     def features(self, folded: str) -> tuple[float, float, int]:
@@ -165,7 +178,7 @@ def learn_lexicon(
     id_col: str = "doc_id",
     max_labelled: int = 20_000,
     least_texts: int = 4,
-    least_odds: float = 12.0,
+    least_odds: float = 6.0,
 ) -> Lexicon:
     """A lexicon from labelled documents (``labels``: id, toxic 0 or 1).
 
@@ -187,7 +200,7 @@ def learn_lexicon(
     if not totals.get(0) or not totals.get(1):
         return default_lexicon()
     ratio = totals[1] / totals[0]
-    counts = _counted(rows, lambda t: _terms(t, 4, 8), least_texts)
+    counts = _counted(rows, lambda t: _terms(t, 3, 8), least_texts)
     lean = counts.where((F.col("t") >= least_texts) & ((F.col("t") + 0.5) / (F.col("o") + 0.5) >= least_odds * ratio))
     strong = {r["term"]: (r["t"], r["o"]) for r in lean.toLocalIterator()}
 
@@ -196,7 +209,7 @@ def learn_lexicon(
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 2 << 20):
-            held = [sorted({known.value[t] for t in _terms(fold(x), 4, 8) if t in known.value}) for x in b.column(0).to_pylist()]
+            held = [sorted({known.value[t] for t in _terms(fold(x), 3, 8) if t in known.value}) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(held, pa.list_(pa.int32()))], names=["key", "held"])
 
     toxic = rows.where("toxic = 1").select("text", "key").mapInArrow(incidence, "key long, held array<int>")
@@ -217,7 +230,7 @@ def _spread(term: str, texts: list[frozenset[str]], most: int = 40) -> int:
     """How many unlike texts hold a term; texts that share half of their other terms count as one."""
     leaders: list[frozenset[str]] = []
     for held in texts:
-        own = frozenset(x for x in held if x[:4] != term[:4])
+        own = frozenset(x for x in held if x[:3] != term[:3])
         if not own or all(len(own & x) < 0.5 * len(own | x) for x in leaders):
             leaders.append(own)
             if len(leaders) >= most:
@@ -245,7 +258,7 @@ def _pick(strong: dict[str, tuple[int, int]], texts: list[frozenset[str]], toxic
         n = a + o
         gain = a * math.log(a / (n * toxic_share)) + (o * math.log(o / (n * (1 - toxic_share))) if o else 0.0) if a else 0.0
         if a >= least and gain > math.log(tested) + 3:
-            families[t[:4]].append(t)
+            families[t[:3]].append(t)
     ratio = toxic_share / (1 - toxic_share)
     weight = {t: _weight(*strong[t], ratio) for terms in families.values() for t in terms}
     picked = []
@@ -270,7 +283,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon, ratio: float, least: int = 4)
     def phrases(folded: str) -> Iterable[str]:
         words, out = folded.split(), set()
         for k, w in enumerate(words):
-            if w in lexicon.weights or any(w[:n] + "*" in lexicon.weights for n in range(4, 9)):
+            if w in lexicon.weights or any(w[:n] + "*" in lexicon.weights for n in range(3, 9)):
                 out.update(" ".join(words[a : a + 2]) for a in (k - 1, k) if 0 <= a < len(words) - 1)
         return out
 
