@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, secrets, tokens, topk, toxicity
+from . import decontam, langid, neardup, secrets, tokens, topk, toxicity
 from .common import crc_fold
 
 
@@ -106,6 +106,11 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), path).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of all documents, and their links to different texts."""
+    return neardup.with_class_ids(neardup.classes(_table(spark, sf_dir, "documents")))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every 20th vector over all vectors, components times 64 as integers."""
 
@@ -142,6 +147,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_top_k": op7_top_k,
     "op8_toxicity": op8_toxicity,
     "op9_tokens": op9_tokens,
