@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, secrets, tokens, topk, toxicity
+from . import decontam, langid, neardup, packing, pii, secrets, tokens, topk, toxicity
 from .common import crc_fold
 
 
@@ -106,6 +106,27 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), path).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; base spans are those of strict patterns."""
+    docs = _table(spark, sf_dir, "documents")
+    df = pii.find_personal_data(docs, pii.learn(docs)).withColumn("s", _span_list())
+    base = F.transform(F.filter(F.arrays_zip("s", "strict"), lambda x: x["strict"]), lambda x: x["s"])
+    df = df.withColumn("b", base)
+    return df.select(
+        "doc_id",
+        *[F.size(_of_kinds(F.col("b"), (k,))).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(F.array_join("b", ","), 256).alias("base_sha256"),
+        F.array_join("s", ",").alias("spans"),
+    )
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of all documents, and their links to different texts."""
     return neardup.with_class_ids(neardup.classes(_table(spark, sf_dir, "documents")))
@@ -147,6 +168,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
+    "op4_personal_data": op4_personal_data,
+    "op5_packing": op5_packing,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_top_k": op7_top_k,
     "op8_toxicity": op8_toxicity,
