@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, pii, secrets, tokens, topk, toxicity
+from . import decontam, html, langid, neardup, packing, pii, secrets, tokens, topk, toxicity
 from .common import crc_fold
 
 
@@ -106,6 +106,11 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), path).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents; base spans are those of strict patterns."""
     docs = _table(spark, sf_dir, "documents")
@@ -168,6 +173,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secrets": op2_secrets,
+    "op3_main_text": op3_main_text,
     "op4_personal_data": op4_personal_data,
     "op5_packing": op5_packing,
     "op6_near_duplicates": op6_near_duplicates,
