@@ -1,8 +1,66 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a
+DataFrame, which is written as Parquet and read again as the next one's docs. All but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from terrachron.llm import decontam, neardup, packing, queries, secrets, toxicity
+from terrachron.llm.common import shared_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.7; the lexicon never learns from the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, queries.toxic_lexicon(docs, labels), threshold=0.7)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the least doc_id."""
+    return neardup.deduplicate(docs)
+
+
+def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that they share with the benchmark; all documents stay."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced; all documents stay."""
+    return secrets.redact_secrets(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", cut_benchmark_passages),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
+
+#: Signatures, tokens and the learned lexicon are beyond SQL: tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``; tables in between go to the session's shared folder."""
+    base = shared_dir(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{base}/{name}-{uuid.uuid4().hex[:8]}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
