@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.maps import as_double
 from ..functions.tags import ensure_compressed_members, is_area, is_multipolygon, is_route, merge_tags, remove_semi_interesting_tags
 from ..geometry.udfs import build_multipolygon, build_routes, build_way, st_makepoint
 from ..schema import GEOMETRY_COLUMNS, NODE, RELATION, WAY, require
 
-BY_VERSION = Window.partitionBy("id").orderBy("version")
-#: Equal times are told apart by changeset, so that results don't depend on the plan.
-BY_UPDATED = Window.partitionBy("id").orderBy("updated", "changeset")
-BY_UPDATED_IN_VERSION = Window.partitionBy("id", "version").orderBy("updated", "changeset")
+
+def _by_version() -> WindowSpec:
+    return Window.partitionBy("id").orderBy("version")
+
+
+def _by_updated(*within: str) -> WindowSpec:
+    """Equal times are told apart by changeset, so that results don't depend on the plan."""
+    return Window.partitionBy("id", *within).orderBy("updated", "changeset")
 
 
 def _covers(since: Column | str, until: Column | str, at: Column | str) -> Column:
@@ -25,18 +29,18 @@ def _covers(since: Column | str, until: Column | str, at: Column | str) -> Colum
 
 def _last_tags() -> Column:
     """Tags, or for a deletion those of the version before."""
-    before = F.lag("tags").over(BY_VERSION)
+    before = F.lag("tags").over(_by_version())
     return F.when(~F.col("visible") & before.isNotNull(), before).otherwise(F.col("tags")).alias("tags")
 
 
 def _last(name: str, value: Column | str | None = None) -> Column:
     """A column, or for a deletion its value in the version before."""
     v = F.col(name) if value is None else value
-    return F.when(~F.col("visible"), F.lag(v).over(BY_VERSION)).otherwise(v).alias(name)
+    return F.when(~F.col("visible"), F.lag(v).over(_by_version())).otherwise(v).alias(name)
 
 
 def _until() -> Column:
-    return F.lead("timestamp").over(BY_VERSION).alias("validUntil")
+    return F.lead("timestamp").over(_by_version()).alias("validUntil")
 
 
 def preprocess_nodes(history: DataFrame, extent: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -52,7 +56,7 @@ def preprocess_nodes(history: DataFrame, extent: tuple[float, float, float, floa
         return history
     require(history, "id", "type", "tags", "lat", "lon", "changeset", "timestamp", "version", "visible")
     nodes = history.where(F.col("type") == "node").withColumns({"lat": as_double("lat"), "lon": as_double("lon")})
-    stays = F.lag("lat").over(BY_VERSION).eqNullSafe(F.col("lat")) & F.lag("lon").over(BY_VERSION).eqNullSafe(F.col("lon"))
+    stays = F.lag("lat").over(_by_version()).eqNullSafe(F.col("lat")) & F.lag("lon").over(_by_version()).eqNullSafe(F.col("lon"))
     return nodes.select(
         "id", _last_tags(), _last("lat"), _last("lon"), "changeset", "timestamp", _until(), "uid", "user", "version", "visible",
         (~stays).alias("geometryChanged"),
@@ -64,7 +68,7 @@ def preprocess_ways(history: DataFrame) -> DataFrame:
     if "validUntil" in history.columns:
         return history
     require(history, "id", "type", "tags", "nds", "changeset", "timestamp", "version", "visible")
-    stays = F.lag("nds").over(BY_VERSION).eqNullSafe(F.col("nds"))
+    stays = F.lag("nds").over(_by_version()).eqNullSafe(F.col("nds"))
     return history.where(F.col("type") == "way").select(
         "id", _last_tags(), _last("nds", F.col("nds.ref")), "changeset", "timestamp", _until(), "uid", "user", "version", "visible",
         (~stays).alias("geometryChanged"),
@@ -103,7 +107,7 @@ def construct_point_geometries(nodes: DataFrame) -> DataFrame:
 def moved_nodes(nodes: DataFrame) -> DataFrame:
     """Node versions that changed place, valid until the next such version."""
     rows = preprocess_nodes(nodes).drop("validUntil").where("geometryChanged").drop("geometryChanged")
-    return rows.withColumn("validUntil", F.lead("timestamp").over(BY_VERSION))
+    return rows.withColumn("validUntil", F.lead("timestamp").over(_by_version()))
 
 
 def nodes_to_ways(ways: DataFrame) -> DataFrame:
@@ -142,9 +146,9 @@ def reconstruct_way_geometries(ways: DataFrame, nodes: DataFrame, nodes_to_ways:
     geoms = lines.select("changeset", "id", "version", "updated", build_way("vertices", "isArea").alias("geom"))
     timed = geoms.withColumns(
         {
-            "validUntil": F.lead("updated").over(BY_UPDATED),
-            "minorVersion": F.row_number().over(BY_UPDATED_IN_VERSION) - 1,
-            "geometryChanged": ~F.lag("geom").over(BY_UPDATED).eqNullSafe(F.col("geom")),
+            "validUntil": F.lead("updated").over(_by_updated()),
+            "minorVersion": F.row_number().over(_by_updated("version")) - 1,
+            "geometryChanged": ~F.lag("geom").over(_by_updated()).eqNullSafe(F.col("geom")),
         }
     )
     return timed.join(rows.select("id", "version", "tags", "visible"), ["id", "version"]).select(
@@ -164,7 +168,7 @@ def relation_timeline(relations: DataFrame, geoms: DataFrame) -> DataFrame:
     own = relations.select("changeset", "id", "version", F.col("timestamp").alias("updated"))
     rows = by_way.unionByName(own).groupBy("changeset", "id").agg(F.max("version").cast("int").alias("version"), F.max("updated").alias("updated"))
     return rows.join(relations.select("id", "version", "members"), ["id", "version"]).withColumns(
-        {"validUntil": F.lead("updated").over(BY_UPDATED), "minorVersion": F.row_number().over(BY_UPDATED_IN_VERSION) - 1}
+        {"validUntil": F.lead("updated").over(_by_updated()), "minorVersion": F.row_number().over(_by_updated("version")) - 1}
     )
 
 

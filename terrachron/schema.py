@@ -34,9 +34,28 @@ AUGMENTED_DIFF_DDL = (
     "prevUid BIGINT, uid BIGINT, prevUser STRING, user STRING, prevUpdated TIMESTAMP, updated TIMESTAMP, "
     "prevVisible BOOLEAN, visible BOOLEAN, prevVersion INT, version INT, minorVersion BOOLEAN"
 )
-ELEMENT_SCHEMA = StructType.fromDDL(ELEMENT_DDL)
-GEOMETRY_SCHEMA = StructType.fromDDL(GEOMETRY_DDL)
-GEOMETRY_COLUMNS = GEOMETRY_SCHEMA.names
+
+
+def names_of(ddl: str) -> list[str]:
+    """Column names of a DDL string (nested fields left out)."""
+    out, depth, word = [], 0, ""
+    for c in ddl + ",":
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append(word.split()[0])
+            word = ""
+        else:
+            word += c
+    return out
+
+
+ELEMENT_COLUMNS = names_of(ELEMENT_DDL)
+GEOMETRY_COLUMNS = names_of(GEOMETRY_DDL)
+
+
+def schema_of(ddl: str) -> StructType:
+    """A DDL string as a schema; needs a session."""
+    return StructType.fromDDL(ddl)
 
 
 def require(df: DataFrame, *names: str) -> None:
