@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, drop_path, flat_bytes, id_text, written
 
-K, ROWS, BANDS = 256, 4, 64
+#: Coordinates; coordinates of a band. Bands are cut from the coordinates in two orders.
+K, ROWS = 256, 6
+_ORDERS = (np.arange(K), np.random.default_rng(7).permutation(K))
+BANDS = 2 * (K // ROWS)
+#: Coordinates and number of the sub-bands that part a bucket of unlike texts.
+SUB_ROWS, SUB_BANDS = 3, 24
+_MASKS = (0, 0x2AAAAAAAAAAAAAAA, 0x4CB2A59D371E6F85)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _R = 0x9E3779B97F4A7C15 | 1
 
@@ -142,13 +148,25 @@ def signatures(data: np.ndarray, at: np.ndarray, k: int = K) -> np.ndarray:
     return (np.where(best == _NONE, np.uint64(0), best) & np.uint64(0xFFFF)).astype("<u2")
 
 
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    """[document, band] hashes of the bands of signatures."""
+    out = []
+    for order in _ORDERS:
+        lanes = sig[:, order[: K // ROWS * ROWS]].astype(np.uint64).reshape(len(sig), -1, ROWS)
+        h = np.zeros(lanes.shape[:2], np.uint64)
+        for k in range(ROWS):
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + lanes[:, :, k] + np.uint64(1))
+        out.append(h)
+    return _mix(np.concatenate(out, axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.int64)
+
+
 def text_key(text: Column, doc_id: Column) -> Column:
     """16 bytes that equal texts share; a null or empty text has its document's own."""
     return F.unhex(F.md5(F.when(F.length(text) > 0, text).otherwise(F.concat(F.lit("\x00"), F.coalesce(doc_id.cast("string"), F.lit(""))))))
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
-    """doc_id, key of the text, sig (null where there are no words) of each document row."""
+    """doc_id, key of the text, sig and bands (null where there are no words) of each document row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, batch_bytes):
@@ -156,10 +174,12 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
             sig = signatures(data, at)
             some = sig.any(axis=1).tolist()
             col = pa.array([s.tobytes() if ok else None for s, ok in zip(sig, some)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), col], names=["doc_id", "key", "sig"])
+            hashes = band_hashes(sig)
+            bands = pa.array([h if ok else None for h, ok in zip(hashes, some)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), col, bands], names=["doc_id", "key", "sig", "bands"])
 
     rows = id_text(docs, id_col, text_col).withColumn("key", text_key(F.col("text"), F.col("doc_id")))
-    return rows.mapInArrow(run, "doc_id long, key binary, sig binary")
+    return rows.mapInArrow(run, "doc_id long, key binary, sig binary, bands array<long>")
 
 
 def _similar(pairs: DataFrame) -> DataFrame:
@@ -170,41 +190,60 @@ def _similar(pairs: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(b.column(j).to_pylist()), "<u2").reshape(-1, K) for j in (2, 3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x == y).mean(axis=1))], names=["a", "b", "sim"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, sim double")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, sim double")
+
+
+def _leader(node: Column) -> Column:
+    """The order in which a bucket chooses its leader, and back: one of three, by the bucket."""
+    mask = F.element_at(F.array(*map(F.lit, _MASKS)), (F.pmod(F.col("bucket"), F.lit(3)) + 1).cast("int"))
+    return node.bitwiseXOR(mask)
 
 
 def _links(texts: DataFrame, threshold: float, keep: list[str]) -> DataFrame:
-    """(a, b) keys of different texts that a common band and their signatures join.
+    """(a, b, sim) of different texts (node, sig, bands) that a common band and their signatures join.
 
     In each bucket of a band, every member is compared with the bucket's leader only; those
     that aren't like it form the bucket anew in the next round, until no bucket has two. So
     no pairs within a bucket are listed, however large it is, and every member is joined
     to a leader like it, if there is one. Leaders differ between bands (three orders), so that
-    texts which two leaders part in one band meet in another.
+    texts which two leaders part in one band meet in another. What two rounds leave (texts that
+    share a passage, but not half of their words) parts by further coordinates, in so
+    many sub-buckets that texts over the threshold hardly ever part in all of them.
     """
-    spark = texts.sparkSession
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    members = texts.select("key", "sig", band.alias("band")).select(
-        F.xxhash64(F.expr(f"substring(sig, band * {2 * ROWS} + 1, {2 * ROWS})"), "band").alias("bucket"),
-        F.xxhash64("key", F.col("band") % 3).alias("order"),
-        "key",
-    )
-    sigs = texts.select("key", "sig")
-    found: DataFrame | None = None
+    members = texts.select(F.explode("bands").alias("bucket"), "node")
+    sigs = texts.select("node", "sig")
+    found: list[DataFrame] = []
+    rounds = 0
     while True:
-        lead = members.groupBy("bucket").agg(F.min(F.struct("order", "key")).alias("lead"), F.count("*").alias("n"))
-        lead = lead.where("n > 1").select("bucket", F.col("lead.key").alias("b"))
-        near = written(members.join(lead, "bucket").where(F.col("key") != F.col("b")).select("bucket", "order", F.col("key").alias("a"), "b"), keep)
+        lead = members.groupBy("bucket").agg(F.min(_leader(F.col("node"))).alias("lead"), F.count("*").alias("n"))
+        lead = lead.where("n > 1").select("bucket", _leader(F.col("lead")).alias("b"))
+        near = written(members.join(lead, "bucket").where(F.col("node") != F.col("b")).select("bucket", F.col("node").alias("a"), "b"), keep)
         pairs = near.select("a", "b").distinct()
-        pairs = pairs.join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a")
-        pairs = pairs.join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
+        pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+        pairs = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         judged = written(_similar(pairs), keep)
-        good = judged.where(F.col("sim") >= threshold).select("a", "b", "sim")
-        found = good if found is None else found.unionByName(good)
-        if judged.where(F.col("sim") < threshold).isEmpty():
-            return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"))
+        found.append(judged.where(F.col("sim") >= threshold).select("a", "b", "sim"))
         apart = judged.where(F.col("sim") < threshold).select("a", "b")
-        members = near.join(apart, ["a", "b"]).select("bucket", "order", F.col("a").alias("key"))
+        if apart.isEmpty():
+            break
+        # Buckets of one member end here, so that rounds shrink fast.
+        members = near.join(apart, ["a", "b"]).select("bucket", F.col("a").alias("node"))
+        many = members.groupBy("bucket").count().where("count > 1").select("bucket")
+        members = written(members.join(many, "bucket").select("bucket", "node").distinct(), keep)
+        if members.isEmpty():
+            break
+        sigs = written(sigs.join(members.select("node").distinct(), "node"), keep)
+        rounds += 1
+        if rounds % 2 == 0:
+            starts = np.random.default_rng(rounds).choice(K - SUB_ROWS, SUB_BANDS, replace=False)
+            at = F.explode(F.array(*[F.lit(int(x)) for x in starts])).alias("at")
+            members = members.join(sigs, "node").select("bucket", "node", "sig", at)
+            finer = F.xxhash64("bucket", "at", F.expr(f"substring(sig, 2 * at + 1, {2 * SUB_ROWS})"))
+            members = members.select(finer.alias("bucket"), "node")
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"))
 
 
 def components(links: DataFrame, keep: list[str]) -> DataFrame:
@@ -239,18 +278,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     are ignored. Hot groups of copies shrink before each shuffle; no pairs are listed within
     a group. Tables in between are written to the shared folder.
     """
+    spark = docs.sparkSession
     keep: list[str] = []
-    signed = written(sign(docs, id_col, text_col), keep)
-    texts = written(signed.groupBy("key").agg(F.count("*").alias("n_copies"), F.first("sig").alias("sig")), keep)
+    big: list[str] = []
+    signed = written(sign(docs, id_col, text_col), big)
+    rows = written(signed.select("doc_id", "key"), keep)
+    # Written, so that the numbers of the texts stay as they are.
+    texts = signed.groupBy("key").agg(F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), keep)
+    drop_path(spark, big[0])
     links = written(_links(texts.where(F.col("sig").isNotNull()), threshold, keep), keep)
     ends = links.select("a", "sim").unionByName(links.select(F.col("b").alias("a"), "sim"))
-    ends = ends.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n_links"), F.max("sim").alias("sim"))
-    roots = components(links, keep).withColumnRenamed("node", "key")
-    info = texts.select("key", "n_copies").join(roots, "key", "left").join(ends, "key", "left")
-    info = info.select("key", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "sim")
-    out = written(signed.select("doc_id", "key").join(info, "key"))
+    ends = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"), F.max("sim").alias("sim"))
+    info = texts.select("key", "node", "n_copies").join(components(links, keep), "node", "left").join(ends, "node", "left")
+    info = info.select("key", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies", "sim")
+    out = written(rows.join(info, "key"))
     for path in keep:
-        drop_path(docs.sparkSession, path)
+        drop_path(spark, path)
     return out
 
 
