@@ -315,14 +315,15 @@ def deduplicate(docs: DataFrame, threshold: float = 0.45, broadcast_rows: int =
     best = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("best"))
     rows = found.join(best, "root").select("doc_id", "key", (F.struct("doc_id", "key") == F.col("best")).alias("stays"))
     tally = written(rows.groupBy("doc_id", "key", "stays").count())
-    marked = docs.withColumn("__key", text_key(F.col("text"), F.col("doc_id")))
-    match = lambda t: F.col("doc_id").eqNullSafe(t["__id"]) & (F.col("__key") == t["__k"])
-    drop = tally.where("not stays").select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"))
+    own, theirs, theirs_id = ("__" + "_" * max(map(len, docs.columns)) + x for x in ("text", "key", "id"))
+    marked = docs.withColumn(own, text_key(F.col("text"), F.col("doc_id")))
+    match = F.col("doc_id").eqNullSafe(F.col(theirs_id)) & (F.col(own) == F.col(theirs))
+    ids = [F.col("doc_id").alias(theirs_id), F.col("key").alias(theirs)]
+    drop = tally.where("not stays").select(*ids)
     if drop.count() <= broadcast_rows:
-        kept = marked.join(F.broadcast(drop), match(drop), "left_anti")
+        kept = marked.join(F.broadcast(drop), match, "left_anti")
     else:
-        stay = tally.where("stays").select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"))
-        kept = marked.join(stay, match(stay), "left_semi")
+        kept = marked.join(tally.where("stays").select(*ids), match, "left_semi")
     if not tally.where("stays and count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__key"])
-    return kept.drop("__key")
+        kept = kept.dropDuplicates(["doc_id", own])
+    return kept.drop(own)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -209,12 +210,14 @@ def learn_lexicon(
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 2 << 20):
-            held = [sorted({known.value[t] for t in _terms(fold(x), 3, 8) if t in known.value}) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(held, pa.list_(pa.int32()))], names=["key", "held"])
+            made = [fold(x) for x in b.column(0).to_pylist()]
+            held = [sorted({known.value[t] for t in _terms(x, 3, 8) if t in known.value}) for x in made]
+            cols = [pa.array(held, pa.list_(pa.int32())), pa.array([_sketch(x) for x in made], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["held", "sketch"])
 
-    toxic = rows.where("toxic = 1").select("text", "key").mapInArrow(incidence, "key long, held array<int>")
+    toxic = rows.where("toxic = 1").select("text").mapInArrow(incidence, "held array<int>, sketch array<long>")
     names = list(strong)
-    texts = [frozenset(names[i] for i in r["held"]) for r in toxic.select("held").toLocalIterator() if r["held"]]
+    texts = [([names[i] for i in r["held"]], frozenset(r["sketch"])) for r in toxic.toLocalIterator() if r["held"]]
     picked = _pick(strong, texts, totals[1] / (totals[0] + totals[1]), max(1, counts.count()), least_texts)
     if not picked:
         return default_lexicon()
@@ -226,12 +229,16 @@ def learn_lexicon(
     return _fitted(rows, lexicon)
 
 
-def _spread(term: str, texts: list[frozenset[str]], most: int = 40) -> int:
-    """How many unlike texts hold a term; texts that share half of their other terms count as one."""
-    leaders: list[frozenset[str]] = []
-    for held in texts:
-        own = frozenset(x for x in held if x[:3] != term[:3])
-        if not own or all(len(own & x) < 0.5 * len(own | x) for x in leaders):
+def _sketch(folded: str, size: int = 24) -> list[int]:
+    """The least hashes of a text's words: like texts share most of them."""
+    return sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in folded.split()})[:size]
+
+
+def _spread(sketches: list[frozenset[int]], most: int = 40) -> int:
+    """How many unlike texts there are (at most ``most``); texts that share half of their sketch count as one."""
+    leaders: list[frozenset[int]] = []
+    for own in sketches:
+        if all(2 * len(own & x) < len(own | x) for x in leaders):
             leaders.append(own)
             if len(leaders) >= most:
                 break
@@ -243,18 +250,21 @@ def _weight(toxic: int, other: int, ratio: float) -> float:
     return min(2.0, max(0.25, math.log((toxic + 0.5) / (other + 0.5) / ratio) / 5))
 
 
-def _pick(strong: dict[str, tuple[int, int]], texts: list[frozenset[str]], toxic_share: float, tested: int, least: int) -> list[str]:
+def _pick(
+    strong: dict[str, tuple[int, int]], texts: list[tuple[list[str], frozenset[int]]], toxic_share: float, tested: int, least: int
+) -> list[str]:
     """Terms that lean to toxic texts by more than chance among ``tested`` terms, as words or as stems.
 
     Words that only ride along in near copies of one text count once and fall out.
     """
     holds: dict[str, list[int]] = defaultdict(list)
-    for k, held in enumerate(texts):
+    for k, (held, _) in enumerate(texts):
         for t in held:
             holds[t].append(k)
     families: dict[str, list[str]] = defaultdict(list)
     for t, (a, o) in strong.items():
-        a = min(a, _spread(t, [texts[k] for k in holds[t]]))
+        alike = _spread([texts[k][1] for k in holds[t]])
+        a = min(a, alike) if alike < 40 else a
         n = a + o
         gain = a * math.log(a / (n * toxic_share)) + (o * math.log(o / (n * (1 - toxic_share))) if o else 0.0) if a else 0.0
         if a >= least and gain > math.log(tested) + 3:
