@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, Doub
 
 from . import assemble, planar
 from .geojson import to_geojson
-from .wkb import COLLECTION, POINT, all_coords, coords, from_wkb, from_wkt, is_empty, to_wkb, to_wkt
+from .wkb import COLLECTION, NAMES, POINT, all_coords, coords, from_wkb, from_wkt, is_empty, to_wkb, to_wkt
 
 
 def _on_geometry(f: Callable, returns: DataType) -> Callable[..., Column]:
@@ -42,13 +42,10 @@ def st_makepoint(x: Column | str, y: Column | str) -> Column:
 
 
 @F.pandas_udf(BinaryType())
-def build_way(vertices: pd.Series, is_area: pd.Series) -> pd.Series:
-    """WKB of a way from its vertices (structs idx, lon, lat in order) and whether its tags describe an area."""
-    out = []
-    for v, a in zip(vertices, is_area):
-        xy = np.array([(p["lon"] if p["lon"] is not None else np.nan, p["lat"] if p["lat"] is not None else np.nan) for p in v], float).reshape(-1, 2)
-        out.append(to_wkb(assemble.way(xy, bool(a))))
-    return pd.Series(out, dtype=object)
+def build_way(lons: pd.Series, lats: pd.Series, is_area: pd.Series) -> pd.Series:
+    """WKB of a way from its vertices' ordinates in order (null: NaN) and whether its tags describe an area."""
+    made = [to_wkb(assemble.way(np.stack([x, y], axis=1).astype("<f8"), bool(a))) for x, y, a in zip(lons, lats, is_area)]
+    return pd.Series(made, dtype=object)
 
 
 def _members(m) -> tuple[list[int], list[str], list]:
@@ -78,7 +75,18 @@ st_y = _on_geometry(lambda g: g[1][1] if g[0] == POINT and g[1] else np.nan, Dou
 st_isvalid = _on_geometry(planar.is_valid, BooleanType())
 st_isempty = _on_geometry(is_empty, BooleanType())
 st_numpoints = _on_geometry(lambda g: len(all_coords(g)), IntegerType())
-st_geometrytype = _on_geometry(lambda g: to_wkt(g).split(" ")[0].lower(), StringType())
+
+
+@F.pandas_udf(StringType())
+def _geometry_type(s: pd.Series) -> pd.Series:
+    """By the header alone; the WKB is the engine's own."""
+    return pd.Series([None if b is None else NAMES[int.from_bytes(b[1:5], "little" if b[0] == 1 else "big")].lower() for b in s], dtype=object)
+
+
+def st_geometrytype(c: Column | str) -> Column:
+    return _geometry_type(F.col(c) if isinstance(c, str) else c)
+
+
 st_astext = _on_geometry(to_wkt, StringType())
 st_asgeojson = _on_geometry(lambda g: json.dumps(to_geojson(g)), StringType())
 st_centroid = _on_geometry(lambda g: to_wkb((POINT, planar.centroid(g))), BinaryType())

@@ -143,7 +143,8 @@ def reconstruct_way_geometries(ways: DataFrame, nodes: DataFrame, nodes_to_ways:
     lines = vertices.groupBy("changeset", "id", "version", "updated").agg(
         F.first("isArea").alias("isArea"), F.sort_array(F.collect_list(F.struct("idx", "lon", "lat"))).alias("vertices")
     )
-    geoms = lines.select("changeset", "id", "version", "updated", build_way("vertices", "isArea").alias("geom"))
+    geom = build_way(F.col("vertices.lon"), F.col("vertices.lat"), "isArea").alias("geom")
+    geoms = lines.select("changeset", "id", "version", "updated", geom)
     timed = geoms.withColumns(
         {
             "validUntil": F.lead("updated").over(_by_updated()),
