@@ -109,7 +109,7 @@ def _throw(doc: np.ndarray, h: np.ndarray, reach: np.ndarray, out: np.ndarray) -
     """Throw the darts of the elements with ranks below their ``reach``; keep the earliest of each coordinate."""
     k = out.shape[1]
     cells = np.ceil(reach).astype(np.int64)
-    piece = 1 << 20
+    piece = 1 << 18
     total = np.concatenate([[0], np.cumsum(cells)])
     a = 0
     while a < len(h):

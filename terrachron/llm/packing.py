@@ -188,7 +188,7 @@ class ByteLevel:
     string, is encoded whole by the library.
     """
 
-    MEMORY = 300_000
+    MEMORY = 200_000
     _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
     _N = "0-9²³¹¼-¾"
     _S = r" \t\n\r\x0b\x0c\x85\xa0"
