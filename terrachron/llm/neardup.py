@@ -23,9 +23,8 @@ from .common import by_bytes, drop_path, flat_bytes, id_text, written
 K, ROWS = 256, 6
 _ORDERS = (np.arange(K), np.random.default_rng(7).permutation(K))
 BANDS = 2 * (K // ROWS)
-#: Coordinates and number of the sub-bands that part a bucket of unlike texts.
-SUB_ROWS, SUB_BANDS = 3, 24
-_MASKS = (0, 0x2AAAAAAAAAAAAAAA, 0x4CB2A59D371E6F85)
+#: Members of a bucket that are compared with each other, or with as many others, in one go.
+BLOCK = 1024
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _R = 0x9E3779B97F4A7C15 | 1
 
@@ -149,7 +148,7 @@ def signatures(data: np.ndarray, at: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
-    """[document, band] hashes of the bands of signatures."""
+    """[document, band] hashes of the bands of signatures; the band's number is in the low eight bits."""
     out = []
     for order in _ORDERS:
         lanes = sig[:, order[: K // ROWS * ROWS]].astype(np.uint64).reshape(len(sig), -1, ROWS)
@@ -157,7 +156,16 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
         for k in range(ROWS):
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + lanes[:, :, k] + np.uint64(1))
         out.append(h)
-    return _mix(np.concatenate(out, axis=1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.int64)
+    band = np.arange(BANDS, dtype=np.uint64)
+    h = _mix(np.concatenate(out, axis=1) + band * np.uint64(0xD1342543DE82EF95))
+    return ((h & ~np.uint64(0xFF)) | band).astype(np.int64)
+
+
+def first_bands(same: np.ndarray) -> np.ndarray:
+    """The first band that each row of [pair, coordinate] agreements has in common (BANDS: none)."""
+    n = len(same)
+    whole = [same[:, order[: K // ROWS * ROWS]].reshape(n, K // ROWS, ROWS).all(axis=2) for order in _ORDERS]
+    return np.concatenate([*whole, np.ones((n, 1), bool)], axis=1).argmax(axis=1)
 
 
 def text_key(text: Column, doc_id: Column) -> Column:
@@ -166,7 +174,7 @@ def text_key(text: Column, doc_id: Column) -> Column:
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
-    """doc_id, key of the text, sig and bands (null where there are no words) of each document row."""
+    """doc_id, key of the text, sig (null where there are no words) of each document row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, batch_bytes):
@@ -174,76 +182,146 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
             sig = signatures(data, at)
             some = sig.any(axis=1).tolist()
             col = pa.array([s.tobytes() if ok else None for s, ok in zip(sig, some)], pa.binary())
-            hashes = band_hashes(sig)
-            bands = pa.array([h if ok else None for h, ok in zip(hashes, some)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), col, bands], names=["doc_id", "key", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), col], names=["doc_id", "key", "sig"])
 
     rows = id_text(docs, id_col, text_col).withColumn("key", text_key(F.col("text"), F.col("doc_id")))
-    return rows.mapInArrow(run, "doc_id long, key binary, sig binary, bands array<long>")
-
-
-def _similar(pairs: DataFrame) -> DataFrame:
-    """(a, b, sim): the share of coordinates in which two signatures agree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return rows.mapInArrow(run, "doc_id long, key binary, sig binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of rows that are equal in the first ``keys`` columns, and where runs start and end."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy() for k in range(keys)]
+        new = np.ones(b.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        new[0] = last is not None and tuple(c[0] for c in cols) != last
+        last = tuple(c[-1] for c in cols)
+        cut = np.flatnonzero(new)
+        if len(cut):
+            held.append(b.slice(0, cut[-1]))
+            yield _cut(held, keys)
+            held = []
+            b = b.slice(cut[-1])
+        held.append(b)
+    if held:
+        yield _cut(held, keys)
+
+
+def _cut(held: list[pa.RecordBatch], keys: int) -> tuple[pa.Table, np.ndarray]:
+    t = pa.Table.from_batches(held).combine_chunks()
+    new = np.any([np.diff(t.column(k).to_numpy()) != 0 for k in range(keys)], axis=0)
+    return t, np.concatenate([[0], np.flatnonzero(new) + 1, [t.num_rows]])
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(bucket, nodes): the different sets of two texts or more that meet in a bucket, each with its bucket of the first band."""
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(j).to_pylist()), "<u2").reshape(-1, K) for j in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x == y).mean(axis=1))], names=["a", "b", "sim"])
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                hashes = band_hashes(np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, K))
+                node = np.repeat(part.column(0).to_numpy(), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.ravel()), pa.array(node)], names=["bucket", "node"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _runs(batches, 1):
+            n = np.diff(at)
+            many = n > 1
+            if many.any():
+                bucket, node = t.column(0).to_numpy()[at[:-1][many]], t.column(1).to_numpy()[np.repeat(many, n)]
+                nodes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[many])]).astype(np.int32)), pa.array(node))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), nodes], names=["bucket", "nodes"])
+
+    members = texts.select("node", "sig").mapInArrow(bands, "bucket long, node long")
+    found = members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "bucket long, nodes array<long>")
+    first = F.min(F.struct((F.col("bucket").bitwiseAND(F.lit(0xFF))).alias("band"), "bucket")).alias("first")
+    return found.groupBy("nodes").agg(first).select("first.bucket", "nodes")
+
+
+def _compare(t: pa.Table, at: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """(node, n, sim, low) of the members of whole blocks (rows: bucket, i, j, node, block, sig) that have links counted there."""
+    bucket, i, j, node, block = (t.column(k).to_numpy() for k in range(5))
+    sig = np.frombuffer(b"".join(t.column(5).to_pylist()), "<u2").reshape(-1, K)
+    least = int(np.ceil(threshold * K - 1e-9))
+    links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def judge(a: np.ndarray, b: np.ndarray) -> None:
+        for k in range(0, len(a), 4096):
+            x, y = a[k : k + 4096], b[k : k + 4096]
+            same = sig[x] == sig[y]
+            n = np.count_nonzero(same, axis=1)
+            ok = n >= least
+            x, y, n, same = x[ok], y[ok], n[ok], same[ok]
+            # A pair that meets in several sets counts in that of its first common band only.
+            own = first_bands(same) == (bucket[x] & 0xFF)
+            links.append((x[own], y[own], n[own]))
+
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    size = 0
+    for s, e in zip(at[:-1], at[1:]):
+        if i[s] == j[s]:
+            a, b = np.triu_indices(e - s, 1)
+            a, b = a + s, b + s
+        else:
+            one, two = np.flatnonzero(block[s:e] == i[s]) + s, np.flatnonzero(block[s:e] == j[s]) + s
+            a, b = np.repeat(one, len(two)), np.tile(two, len(one))
+        left.append(a)
+        right.append(b)
+        size += len(a)
+        if size > 1 << 17:
+            judge(np.concatenate(left), np.concatenate(right))
+            left, right, size = [], [], 0
+    if left:
+        judge(np.concatenate(left), np.concatenate(right))
+    a, b, n = (np.concatenate([x[k] for x in links]) if links else np.empty(0, np.int64) for k in range(3))
+    count = np.bincount(a, minlength=len(node)) + np.bincount(b, minlength=len(node))
+    best = np.zeros(len(node), np.int64)
+    np.maximum.at(best, a, n)
+    np.maximum.at(best, b, n)
+    # Rows of a block are in the order of nodes, so the least row of a connected part is its least node.
+    low = np.arange(len(node))
+    while True:
+        least_of = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, least_of)
+        np.minimum.at(new, b, least_of)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    some = count > 0
+    return pa.RecordBatch.from_arrays(
+        [pa.array(node[some]), pa.array(count[some]), pa.array(best[some] / K), pa.array(node[low[some]])], names=["node", "n", "sim", "low"]
+    )
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, sim double")
 
+def _links(texts: DataFrame, threshold: float, keep: list[str]) -> DataFrame:
+    """(node, n, sim, low): links of different texts (node, sig) that share a band and agree in ``threshold`` of the coordinates.
 
-def _leader(node: Column) -> Column:
-    """The order in which a bucket chooses its leader, and back: one of three, by the bucket."""
-    mask = F.element_at(F.array(*map(F.lit, _MASKS)), (F.pmod(F.col("bucket"), F.lit(3)) + 1).cast("int"))
-    return node.bitwiseXOR(mask)
+    All pairs of a bucket's members are compared, in blocks of ``BLOCK`` by ``BLOCK`` members
+    that tasks share out, so that large buckets spread. Buckets with the same members are
+    compared once, and a pair counts in one bucket only. Pairs aren't listed: a row says how
+    many links (n) a node has in a block, the best share (sim) and the least node (low) that it
+    is joined to there. A node has a row for each block in which it has links.
+    """
+    sets = written(_sets(texts), keep)
+    rows = sets.select("bucket", F.size("nodes").alias("size"), F.posexplode("nodes").alias("pos", "node"))
+    block = (F.col("pos") / BLOCK).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / BLOCK).cast("int"))))
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
+    rows = rows.join(texts.select("node", "sig"), "node").select("bucket", "i", "j", "node", "block", "sig")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _runs(batches, 3):
+            yield _compare(t, at, threshold)
 
-def _links(texts: DataFrame, threshold: float, keep: list[str]) -> DataFrame:
-    """(a, b, sim) of different texts (node, sig, bands) that a common band and their signatures join.
-
-    In each bucket of a band, every member is compared with the bucket's leader only; those
-    that aren't like it form the bucket anew in the next round, until no bucket has two. So
-    no pairs within a bucket are listed, however large it is, and every member is joined
-    to a leader like it, if there is one. Leaders differ between bands (three orders), so that
-    texts which two leaders part in one band meet in another. What two rounds leave (texts that
-    share a passage, but not half of their words) parts by further coordinates, in so
-    many sub-buckets that texts over the threshold hardly ever part in all of them.
-    """
-    members = texts.select(F.explode("bands").alias("bucket"), "node")
-    sigs = texts.select("node", "sig")
-    found: list[DataFrame] = []
-    rounds = 0
-    while True:
-        lead = members.groupBy("bucket").agg(F.min(_leader(F.col("node"))).alias("lead"), F.count("*").alias("n"))
-        lead = lead.where("n > 1").select("bucket", _leader(F.col("lead")).alias("b"))
-        near = written(members.join(lead, "bucket").where(F.col("node") != F.col("b")).select("bucket", F.col("node").alias("a"), "b"), keep)
-        pairs = near.select("a", "b").distinct()
-        pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-        pairs = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        judged = written(_similar(pairs), keep)
-        found.append(judged.where(F.col("sim") >= threshold).select("a", "b", "sim"))
-        apart = judged.where(F.col("sim") < threshold).select("a", "b")
-        if apart.isEmpty():
-            break
-        # Buckets of one member end here, so that rounds shrink fast.
-        members = near.join(apart, ["a", "b"]).select("bucket", F.col("a").alias("node"))
-        many = members.groupBy("bucket").count().where("count > 1").select("bucket")
-        members = written(members.join(many, "bucket").select("bucket", "node").distinct(), keep)
-        if members.isEmpty():
-            break
-        sigs = written(sigs.join(members.select("node").distinct(), "node"), keep)
-        rounds += 1
-        if rounds % 2 == 0:
-            starts = np.random.default_rng(rounds).choice(K - SUB_ROWS, SUB_BANDS, replace=False)
-            at = F.explode(F.array(*[F.lit(int(x)) for x in starts])).alias("at")
-            members = members.join(sigs, "node").select("bucket", "node", "sig", at)
-            finer = F.xxhash64("bucket", "at", F.expr(f"substring(sig, 2 * at + 1, {2 * SUB_ROWS})"))
-            members = members.select(finer.alias("bucket"), "node")
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"))
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(run, "node long, n long, sim double, low long")
 
 
 def components(links: DataFrame, keep: list[str]) -> DataFrame:
@@ -275,8 +353,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     Exact copies share a class and are signed once; repeated rows are copies. Null or empty
     texts stand alone (rows of one id with such texts are copies of each other). Texts
     without words are joined to exact copies only. Ties go to the lesser key. Other columns
-    are ignored. Hot groups of copies shrink before each shuffle; no pairs are listed within
-    a group. Tables in between are written to the shared folder.
+    are ignored. Exact copies shrink before each shuffle; all pairs that share a band are
+    compared, but not listed. Tables in between are written to the shared folder.
     """
     spark = docs.sparkSession
     keep: list[str] = []
@@ -284,13 +362,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     signed = written(sign(docs, id_col, text_col), big)
     rows = written(signed.select("doc_id", "key"), keep)
     # Written, so that the numbers of the texts stay as they are.
-    texts = signed.groupBy("key").agg(F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    texts = signed.groupBy("key").agg(F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
     texts = written(texts.withColumn("node", F.monotonically_increasing_id()), keep)
     drop_path(spark, big[0])
     links = written(_links(texts.where(F.col("sig").isNotNull()), threshold, keep), keep)
-    ends = links.select("a", "sim").unionByName(links.select(F.col("b").alias("a"), "sim"))
-    ends = ends.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"), F.max("sim").alias("sim"))
-    info = texts.select("key", "node", "n_copies").join(components(links, keep), "node", "left").join(ends, "node", "left")
+    ends = links.groupBy("node").agg(F.sum("n").alias("n_links"), F.max("sim").alias("sim"))
+    joined = links.where("low != node").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    info = texts.select("key", "node", "n_copies").join(components(joined, keep), "node", "left").join(ends, "node", "left")
     info = info.select("key", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies", "sim")
     out = written(rows.join(info, "key"))
     for path in keep:

@@ -130,6 +130,29 @@ def test_classes_against_brute_force(docs_of):
     assert all((r.n_links > 0) == (len({t for d, t in rows if want[d] == want[i]}) > 1) for i, r in got.items())
 
 
+def test_links_against_brute_force(docs_of, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    base, rows = [word() for _ in range(200)], []
+    for k in range(90):  # a bucket of texts of which many, but not all, are like each other
+        share = rng.choice([0.02, 0.06, 0.1, 0.14])
+        own = [word() for _ in range(60)] if k % 3 == 0 else []
+        rows.append((k, " ".join([word() if rng.random() < share else w for w in base] + own)))
+    raw = [t.encode() for _, t in rows]
+    sig = neardup.signatures(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    bands = neardup.band_hashes(sig)
+    assert not len(neardup.first_bands(np.empty((0, neardup.K), bool)))
+    linked = np.array([[i != j and (x == y).mean() >= 0.45 and (p == q).any() for j, (y, q) in enumerate(zip(sig, bands))] for i, (x, p) in enumerate(zip(sig, bands))])
+    assert 10 < linked.sum(axis=1).max() and not linked.all(axis=None)
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min([root[i], *(root[j] for j in np.flatnonzero(linked[i]))]) for i in range(len(rows))]
+    for block in (1024, 7):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = {r.doc_id: (r.n_links, r.class_id) for r in neardup.with_class_ids(neardup.classes(docs_of(rows))).collect()}
+        assert got == {i: (linked[i].sum(), root[i]) for i in range(len(rows))}
+
+
 def test_odd_documents_and_survivors(docs_of):
     rows = [(1, "one two three four five"), (2, "one two three four five"), (2, "one two three four five"), (3, "else"), (3, "other words"), *ODD]
     got = neardup.with_class_ids(neardup.classes(docs_of(rows))).collect()
