@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, drop_path, flat_bytes, id_text, written
 
 #: Coordinates; coordinates of a band. Bands are cut from the coordinates in two orders.
-K, ROWS = 256, 6
+K, ROWS = 256, 4
 _ORDERS = (np.arange(K), np.random.default_rng(7).permutation(K))
 BANDS = 2 * (K // ROWS)
 #: Members of a bucket that are compared with each other, or with as many others, in one go.

@@ -130,6 +130,14 @@ def test_classes_against_brute_force(docs_of):
     assert all((r.n_links > 0) == (len({t for d, t in rows if want[d] == want[i]}) > 1) for i, r in got.items())
 
 
+def test_bands_meet_at_the_threshold():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 16, (2000, neardup.K)).astype("<u2")
+    for s, least in ((0.45, 0.9), (0.5, 0.96), (0.55, 0.99), (0.6, 0.995)):
+        b = np.where(rng.random(a.shape) < s, a, a + 1).astype("<u2")
+        assert (neardup.band_hashes(a) == neardup.band_hashes(b)).any(axis=1).mean() > least
+
+
 def test_links_against_brute_force(docs_of, monkeypatch):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
