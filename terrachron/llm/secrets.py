@@ -1,8 +1,9 @@
 """Secret scans: candidates by pattern, confirmed by their structure.
 
-Base64 and hexadecimal candidates are decoded; private keys are parsed as DER (nested
-lengths must add up) or as OpenSSH key files, signed tokens by their JSON header and
-payload. Plain assignments, access keys and long hexadecimal strings are base spans.
+Base64 and hexadecimal candidates of 20 characters or more are decoded; private keys are
+parsed as DER (nested lengths must add up) or as OpenSSH key files, signed tokens by their
+JSON header and payload. Decoded text, of one line or more, is scanned for keys, tokens and
+plain secrets in turn. An encrypted key's header lines must name its cipher. Plain assignments, access keys and long hexadecimal strings are base spans.
 """
 
 from __future__ import annotations
@@ -29,11 +30,16 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 _PEM = re.compile(
-    r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END ([A-Z0-9]+ )*PRIVATE KEY-----"
+    r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----\s*+"
+    r"((?:[A-Za-z0-9-]++:[^\n]*+\n(?:[ \t]++[^\n]*+\n)*+)*+)"
+    r"([A-Za-z0-9+/=\s]++)-----END ([A-Z0-9]+ )*PRIVATE KEY-----"
 )
+_DEK = re.compile(r"^DEK-Info:\s*[A-Za-z0-9-]+\s*,\s*[0-9A-Fa-f]{16,}\s*$", re.M)
+_BREAKS = str.maketrans("", "", "\t\r\n")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]+")
 
 
@@ -144,32 +150,57 @@ def is_signed_token(s: str) -> bool:
     return h["alg"].lower() == "none" or bool(sign) and decoded(sign) is not None
 
 
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """Private keys in PEM form, plain, or encrypted as RFC 1421 header lines say (then whole cipher blocks)."""
+    out = []
+    if "-----BEGIN" in text:
+        for m in _PEM.finditer(text):
+            b = decoded("".join(m[3].split()))
+            if b and (is_der_key(b) or is_openssh_key(b) or len(b) % 8 == 0 and _DEK.search(m[2])):
+                out.append((m.start(), m.end()))
+    return out
+
+
 def _kind_of(b: bytes) -> str | None:
     """What decoded bytes are."""
     if is_der_key(b):
         return "der"
     if is_openssh_key(b):
         return "openssh"
-    if b.isascii() and (t := b.decode()).isprintable():
-        if any(k != "hex" for k, _, _ in base_spans(t)) or t.count(".") >= 2 and any(
+    if b.isascii() and (t := b.decode()).translate(_BREAKS).isprintable():
+        if pem_spans(t) or any(k != "hex" for k, _, _ in base_spans(t)) or t.count(".") >= 2 and any(
             is_signed_token(m[0]) for m in _JWT.finditer(t)
         ):
             return "encoded"
     return None
 
 
+def _wrapped(s: str) -> tuple[str, int] | None:
+    """What base64 in lines of one length, but for a shorter last one, decodes to, and where it ends."""
+    lines = s.split("\n")
+    width = len(lines[0].rstrip("\r"))
+    n = 1
+    while n < len(lines) and len(lines[n].rstrip("\r")) == width:
+        n += 1
+    for k in (n + 1, n):
+        if 2 <= k <= len(lines) and len(lines[k - 1].rstrip("\r")) <= width:
+            part = "\n".join(lines[:k])
+            if (b := decoded("".join(part.split()))) and (kind := _kind_of(b)):
+                return kind, len(part.rstrip("\r"))
+    return None
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates whose structure confirms them."""
     out = []
     if "." in text:
         out += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
-    pem = []
-    if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            b = decoded("".join(m[2].split()))
-            if b and (is_der_key(b) or is_openssh_key(b)):
-                pem.append((m.start(), m.end()))
-        out += [("pem", a, e) for a, e in pem]
+    pem = pem_spans(text)
+    out += [("pem", a, e) for a, e in pem]
+    for m in _LINES.finditer(text):
+        if not any(a <= m.start() < e for a, e in pem) and (wrapped := _wrapped(m[0])):
+            out.append((wrapped[0], m.start(), m.start() + wrapped[1]))
+            pem.append((m.start(), m.start() + wrapped[1]))
     for m in _RUN.finditer(text):
         if any(a <= m.start() < e for a, e in pem):
             continue

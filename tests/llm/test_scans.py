@@ -138,6 +138,22 @@ def test_structure_confirms():
     assert kinds(base64.b64encode(b"my password=hunter2hunter2 and more text").decode()) == ["encoded"]
 
 
+def test_decoded_texts_are_scanned():
+    spans = lambda t: secrets.spans_of(t)
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(RSA).decode() + "-----END RSA PRIVATE KEY-----\n"
+    locked = pem.replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n", 1)
+    locked = locked.replace(base64.encodebytes(RSA).decode(), base64.encodebytes(bytes(range(7, 247))).decode())
+    assert [k for k, _, _ in spans(f"x {locked} y")] == ["pem"]
+    assert spans(locked.replace("DEK-Info", "Info")) == []
+    for secret in ("password=hunter2hunter2", pem, locked, "HOST=x\r\n\tPORT=1\r\nPASSWORD=abcdefgh1\r\n"):
+        code = base64.b64encode(secret.encode()).decode()
+        assert spans(f"a {code} b") == [("encoded", 2, 2 + len(code))]
+        if len(code) > 76:
+            lines = base64.encodebytes(secret.encode()).decode().strip()
+            assert spans(f"a\n{lines}\nmore text") == [("encoded", 2, 2 + len(lines))]
+    assert spans("a " + base64.b64encode(b"line one\nline two\n").decode()) == []
+
+
 def test_secrets_in_spark(spark, docs_of):
     rows = [*ODD, (7, "é token = \"" + "a1" * 20 + "\" z"), (8, "x" * 100_000 + " password=abcdefgh1")]
     got = {r.doc_id: r for r in secrets.find_secrets(docs_of(rows)).collect()}
