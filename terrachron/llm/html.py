@@ -185,15 +185,19 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def noise_paths(pages: DataFrame, threshold: float = 0.2, least_pages: int = 20, batch_bytes: int = 4 << 20) -> DataFrame:
+def noise_paths(pages: DataFrame, threshold: float = 0.2, least_pages: int = 2, batch_bytes: int = 4 << 20) -> DataFrame:
     """(host, path) of the style-tree nodes of low importance, from pages (host, html).
 
     Presentation and content importance are entropies over a node's features, to the base of
-    the number of pages that have it (0: all pages alike, 1: all differ). A node that
-    fewer than ``least_pages`` pages of the host have is not judged. Counts are summed in the
-    tasks before each shuffle, so that a hot host is no hot key: its rows are as many as
-    its distinct features.
+    the number of pages that have it (0: all pages alike, 1: all differ). Few pages show too
+    little of how a node varies, so each entropy is raised by (distinct features - 1) / (2
+    pages), as Miller and Madow do; what is alike on all pages stays at 0. A node that fewer
+    than ``least_pages`` different pages of the host have is not judged; rows that repeat a
+    page count as one. Counts are summed in the tasks before each shuffle, so that a hot
+    host is no hot key: its rows are as many as its distinct features.
     """
+    digest = F.unhex(F.md5(F.concat("host", F.lit("\x00"), "html"))).alias("digest")
+    repeats = written(pages.select(digest).groupBy("digest").agg(F.count("*").alias("c")).where("c > 1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -201,22 +205,24 @@ def noise_paths(pages: DataFrame, threshold: float = 0.2, least_pages: int = 20,
         def flush() -> pa.RecordBatch:
             keys = list(counts)
             cols = [pa.array([k[j] for k in keys], t) for j, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))]
-            cols.append(pa.array([counts[k] for k in keys], pa.int64()))
+            cols.append(pa.array([counts[k] for k in keys], pa.float64()))
             counts.clear()
             return pa.RecordBatch.from_arrays(cols, names=["host", "path", "kind", "feature", "n"])
 
         for b in by_bytes(batches, batch_bytes, "html"):
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for host, page, share in zip(*(b.column(j).to_pylist() for j in range(3))):
                 for (path, kind, feature), c in features(page).items():
-                    counts[host, path, kind, feature] += c
+                    counts[host, path, kind, feature] += c * share
             if len(counts) > 100_000:
                 yield flush()
         yield flush()
 
-    seen = pages.select("host", "html").mapInArrow(run, "host string, path string, kind string, feature long, n long")
-    seen = seen.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
-    nodes = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn"))
-    entropy = F.when(F.col("m") > 1, (F.log(F.col("m").cast("double")) - F.col("nlogn") / F.col("m")) / F.log(F.col("m").cast("double"))).otherwise(1.0)
+    once = pages.select("host", "html", digest).join(repeats, "digest", "left").select("host", "html", F.coalesce(F.lit(1.0) / F.col("c"), F.lit(1.0)).alias("share"))
+    seen = once.mapInArrow(run, "host string, path string, kind string, feature long, n double")
+    seen = seen.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("n"), 3).alias("n"))
+    nodes = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("d"))
+    nats = F.log("m") - F.col("nlogn") / F.col("m") + (F.col("d") - 1) / (2 * F.col("m"))
+    entropy = F.when(F.col("m") > 1, F.least(F.lit(1.0), nats / F.log("m"))).otherwise(1.0)
     rows = nodes.select("host", "path", "kind", "m", entropy.alias("h"))
     both = rows.groupBy("host", "path").agg(
         F.max("m").alias("m"),
@@ -273,15 +279,15 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
     threshold: float = 0.2,
-    least_pages: int = 20,
+    least_pages: int = 2,
     broadcast_hosts: int = 20_000,
     batch_bytes: int = 4 << 20,
 ) -> DataFrame:
     """page_id, url, text of each page row.
 
     A null or empty html gives an empty text; a null url, or one without a host, belongs to
-    the host "". Repeated rows are each answered, and count as pages of the site; other
-    columns are ignored. Low branches are broadcast as a path list per host while at most
+    the host "". Repeated rows are each answered, and count as one page of the site; other
+    columns are ignored. A site is judged from two different pages on. Low branches are broadcast as a path list per host while at most
     ``broadcast_hosts`` hosts have any, which is counted; else pages meet them in a join on
     host and a salt, so that no host's pages gather in one task.
     """

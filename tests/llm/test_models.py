@@ -309,6 +309,20 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert html.extract(df, broadcast_hosts=0).count() == len(rows) and html.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_judges_small_sites(spark):
+    rows = []
+    for n in (1, 2, 5, 19):
+        for k in range(n):
+            body = f"<div class=x><p>Same on all pages of the site</p></div><div class=y><p>Own text {k} of the page</p></div>"
+            rows += [(100 * n + k, f"http://h{n}.example/{k}", f"<body>{body}</body>")] * (9 if k == 0 else 1)  # repeats are one page
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html.extract(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = f"Own text {r.page_id % 100} of the page"
+        assert r.text == (own if r.page_id > 199 else "Same on all pages of the site\n\n" + own)
+
+
 # --------------------------------------------------------------------------- pipeline
 
 
