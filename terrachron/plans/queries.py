@@ -202,6 +202,13 @@ def user_metadata(spark: SparkSession, d: str) -> DataFrame:
     return add_user_metadata(history.construct_point_geometries(derive.node_history(spark, d)), sets).select("changeset", "id", "uid", "user")
 
 
+@query(f"""WITH {POINTS_SQL} SELECT pl.changeset, pl.id, o_custkey AS uid, 'c' || o_custkey AS "user" FROM pl JOIN orders ON changeset = o_orderkey""")
+def user_metadata_all(spark: SparkSession, d: str) -> DataFrame:
+    """Like user_metadata, with every changeset."""
+    sets = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("uid"), F.concat(F.lit("c"), F.col("o_custkey")).alias("user"))
+    return add_user_metadata(history.construct_point_geometries(derive.node_history(spark, d)), sets).select("changeset", "id", "uid", "user")
+
+
 @query(f"""WITH {RELATIONS_SQL}, m AS (SELECT id, version, unnest(members) AS m FROM rp)
 SELECT id, version, 2::BIGINT * count(*) AS codes, count(*) FILTER (m.role <> '') AS roles FROM m GROUP BY 1, 2""")
 def compress_members(spark: SparkSession, d: str) -> DataFrame:

@@ -42,3 +42,13 @@ def test_entry_imports():
     import __spark_entry__
 
     assert set(SQL) <= set(__spark_entry__.oracle_sql()) and set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_user_metadata_of_every_changeset(spark):
+    from terrachron.osm import add_user_metadata
+
+    found = {r.changeset % 2 for r in QUERIES["user_metadata_all"](spark, SF).select("changeset").distinct().collect()}
+    assert found == {0, 1}
+    geoms = spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "changeset long, id long")
+    sets = spark.createDataFrame([(1, 7, "a"), (2, 8, "b"), (9, 9, "c")], "id long, uid long, user string")
+    assert sorted(map(tuple, add_user_metadata(geoms, sets).select("id", "uid", "user").collect())) == [(10, 7, "a"), (11, 8, "b")]
