@@ -325,6 +325,16 @@ def tags_reduce(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", tags_text(ordered).alias("tags"))
 
 
+@query("""WITH p AS (SELECT user_id, event_type AS k, list_sort(list_distinct(list((event_id % 3)::VARCHAR))) AS v FROM events GROUP BY 1, 2)
+SELECT user_id, string_agg(k || '=' || array_to_string(v, ';'), ',' ORDER BY k || '=' || array_to_string(v, ';')) AS tags FROM p GROUP BY 1""")
+def tags_reduce_all(spark: SparkSession, d: str) -> DataFrame:
+    """Like tags_reduce, over all events; a user's equal pairs are reduced once."""
+    e = table(spark, d, "events").select("user_id", "event_type", (F.col("event_id") % 3).cast("string").alias("v")).distinct()
+    e = e.groupBy("user_id").agg(tags.reduce_tags(F.collect_list(F.create_map("event_type", "v"))).alias("t"))
+    ordered = F.transform_values("t", lambda k, v: F.array_join(F.array_sort(F.split(v, ";")), ";"))
+    return e.select("user_id", tags_text(ordered).alias("tags"))
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a=x,b=1' WHEN event_id % 3 = 1 THEN 'a=x;y,b=1,c=2' ELSE 'a=x,b=1' END AS tags FROM events""")
 def tags_merge(spark: SparkSession, d: str) -> DataFrame:
     one = F.create_map(F.lit("a"), F.lit("x"), F.lit("b"), F.lit("1"))

@@ -52,3 +52,9 @@ def test_user_metadata_of_every_changeset(spark):
     geoms = spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "changeset long, id long")
     sets = spark.createDataFrame([(1, 7, "a"), (2, 8, "b"), (9, 9, "c")], "id long, uid long, user string")
     assert sorted(map(tuple, add_user_metadata(geoms, sets).select("id", "uid", "user").collect())) == [(10, 7, "a"), (11, 8, "b")]
+
+
+def test_tags_reduce_of_every_event(spark, db):
+    got = QUERIES["tags_reduce_all"](spark, SF)
+    assert got.count() == db.execute("SELECT count(DISTINCT user_id) FROM events").fetchone()[0]
+    assert got.where("tags LIKE '%0;1;2%'").count() > 0
