@@ -158,17 +158,20 @@ def reconstruct_way_geometries(ways: DataFrame, nodes: DataFrame, nodes_to_ways:
 
 
 def relation_timeline(relations: DataFrame, geoms: DataFrame) -> DataFrame:
-    """One row a changeset that touched a relation or a way of it, with members, minorVersion and validUntil.
+    """One row a changeset that touched a relation or a way of it, with minorVersion and validUntil.
 
-    ``relations`` are preprocessed, ``geoms`` way geometries with geometryChanged.
+    ``relations`` are preprocessed, ``geoms`` way geometries with geometryChanged. Rows are
+    narrow: members stay with their version (``version_members``), so that the windows over a
+    relation with many changesets sort keys and times alone.
     """
-    member = relations.select(F.explode("members").alias("m"), F.col("id").alias("relationId"), "version", "timestamp", "validUntil")
-    lookup = member.where(F.col("m.type") == WAY).select(F.col("m.ref").alias("id"), "relationId", "version", "timestamp", "validUntil")
-    by_way = geoms.where("geometryChanged").select("changeset", "id", "updated").join(lookup.distinct(), "id")
+    ways = F.filter("members", lambda m: m["type"] == WAY)
+    refs = F.array_distinct(F.transform(ways, lambda m: m["ref"]))
+    lookup = relations.select(F.explode(refs).alias("id"), F.col("id").alias("relationId"), "version", "timestamp", "validUntil")
+    by_way = geoms.where("geometryChanged").select("changeset", "id", "updated").join(lookup, "id")
     by_way = by_way.where(_covers("timestamp", "validUntil", "updated")).select("changeset", F.col("relationId").alias("id"), "version", "updated")
     own = relations.select("changeset", "id", "version", F.col("timestamp").alias("updated"))
     rows = by_way.unionByName(own).groupBy("changeset", "id").agg(F.max("version").cast("int").alias("version"), F.max("updated").alias("updated"))
-    return rows.join(relations.select("id", "version", "members"), ["id", "version"]).withColumns(
+    return rows.withColumns(
         {"validUntil": F.lead("updated").over(_by_updated()), "minorVersion": F.row_number().over(_by_updated("version")) - 1}
     )
 
@@ -176,11 +179,16 @@ def relation_timeline(relations: DataFrame, geoms: DataFrame) -> DataFrame:
 KEYS = ["changeset", "id", "version", "minorVersion", "updated", "validUntil"]
 
 
-def relation_members(timeline: DataFrame) -> DataFrame:
-    """Distinct members of each row of the timeline, with their first place among them (a relation without any has one null row)."""
-    rows = timeline.select(*KEYS, F.posexplode_outer("members").alias("pos", "m"))
-    rows = rows.select(*KEYS, "pos", F.col("m.type").alias("type"), F.col("m.ref").alias("ref"), F.col("m.role").alias("role"))
-    return rows.groupBy(*KEYS, "type", "ref", "role").agg(F.min("pos").alias("pos"))
+def version_members(relations: DataFrame) -> DataFrame:
+    """Distinct members of each relation version, with their first place among them (a version without any has one null row)."""
+    rows = relations.select("id", "version", F.posexplode_outer("members").alias("pos", "m"))
+    rows = rows.select("id", "version", "pos", F.col("m.type").alias("type"), F.col("m.ref").alias("ref"), F.col("m.role").alias("role"))
+    return rows.groupBy("id", "version", "type", "ref", "role").agg(F.min("pos").alias("pos"))
+
+
+def relation_members(timeline: DataFrame, relations: DataFrame) -> DataFrame:
+    """Distinct members of each row of the timeline, with their first place among them."""
+    return timeline.select(*KEYS).join(version_members(relations), ["id", "version"]).select(*KEYS, "type", "ref", "role", "pos")
 
 
 def with_member_geometries(members: DataFrame, geoms: DataFrame) -> DataFrame:
@@ -197,7 +205,7 @@ def with_member_geometries(members: DataFrame, geoms: DataFrame) -> DataFrame:
 
 
 def _assembled(relations: DataFrame, geoms: DataFrame, roles: list[str] | None) -> DataFrame:
-    members = relation_members(relation_timeline(relations, geoms))
+    members = relation_members(relation_timeline(relations, geoms), relations)
     if roles is not None:
         members = members.where(F.col("role").isin(*roles))
     members = with_member_geometries(members, geoms).where(F.col("type").isNotNull())

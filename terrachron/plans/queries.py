@@ -178,8 +178,10 @@ def relation_timeline(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {RELATION_TIMELINE_SQL}, m AS (SELECT rt.changeset, rt.id, unnest(members) AS m FROM rt JOIN rp ON rt.id = rp.id AND rt.version = rp.version)
 SELECT changeset, id, count(*) AS n, sum(m.ref)::BIGINT AS refs, count(*) FILTER (m.role = 'outer') AS outers FROM m GROUP BY 1, 2""")
 def relation_members(spark: SparkSession, d: str) -> DataFrame:
-    df = history.relation_members(_relation_timeline(spark, d)).groupBy("changeset", "id")
-    return df.agg(F.count("*").alias("n"), F.sum("ref").alias("refs"), F.count(F.when(F.col("role") == "outer", 1)).alias("outers"))
+    # Members are those of the version, so their sums are made once a version and met by its changesets.
+    members = history.version_members(history.preprocess_relations(derive.relation_history(spark, d))).groupBy("id", "version")
+    sums = members.agg(F.count("*").alias("n"), F.sum("ref").alias("refs"), F.count(F.when(F.col("role") == "outer", 1)).alias("outers"))
+    return _relation_timeline(spark, d).join(sums, ["id", "version"]).select("changeset", "id", "n", "refs", "outers")
 
 
 @query(f"""WITH {POINTS_SQL} SELECT changeset, id, version FROM pl WHERE updated <= TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-01-01' < coalesce(until, TIMESTAMP '2999-01-01')""")
