@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN_DIR: list[tempfile.TemporaryDirectory] = []
 
@@ -35,11 +37,14 @@ def crc_fold(id_col: str | Column, folds: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the session's checkpoint folder.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is
-    unset (tests, local mode) a temporary folder of this machine is used.
+    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset and
+    all executors are in this process (tests, local mode) a temporary folder of this machine
+    is used. A cluster without a shared folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.TemporaryDirectory(prefix="shared-"))
             atexit.register(_OWN_DIR[0].cleanup)
@@ -68,16 +73,30 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _give_back() -> None:
+    """Return memory that this process has freed, but still holds, to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_arrow(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
-    """``mapInArrow`` under a short name, kept in one place."""
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` whose tasks give their freed memory back.
+
+    Python workers live on from stage to stage: what each stage leaves in them would add up.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
 
-def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    """Python values of some columns of an Arrow batch, row by row."""
-    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
+    return df.mapInArrow(run, schema)
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, written
+from .common import by_bytes, map_arrow, written
 
 _RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "noembed", "noframes", "xmp", "object", "audio", "video", "canvas")
 #: Text in these is taken as it stands up to the closing tag.
@@ -218,7 +218,7 @@ def noise_paths(pages: DataFrame, threshold: float = 0.2, least_pages: int = 2,
         yield flush()
 
     once = pages.select("host", "html", digest).join(repeats, "digest", "left").select("host", "html", F.coalesce(F.lit(1.0) / F.col("c"), F.lit(1.0)).alias("share"))
-    seen = once.mapInArrow(run, "host string, path string, kind string, feature long, n double")
+    seen = map_arrow(once, run, "host string, path string, kind string, feature long, n double")
     seen = seen.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("n"), 3).alias("n"))
     nodes = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("d"))
     nats = F.log("m") - F.col("nlogn") / F.col("m") + (F.col("d") - 1) / (2 * F.col("m"))
@@ -316,4 +316,4 @@ def extract(
                 made.append(main_text(page, sets[key]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], names=["page_id", "url", "text"])
 
-    return met.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string")
+    return map_arrow(met.select("page_id", "url", "html", "low"), run, "page_id long, url string, text string")

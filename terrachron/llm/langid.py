@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, id_text, sampled
+from .common import by_bytes, id_text, map_arrow, sampled
 
 ORDERS = (2, 3)
 _MULTIPLY = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -93,7 +93,7 @@ def train(
                 names=["lang", "bucket", "n"],
             )
 
-    counts = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = map_arrow(rows, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
     langs = sorted(set(got["lang"].to_pylist()))
     table = np.full((len(langs), 1 << bits), smoothing)
@@ -148,7 +148,7 @@ def identify(
                 names=["doc_id", "lang_pred", "score"],
             )
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
 
 
 def learn_and_identify(docs: DataFrame, learn: Column, max_docs: int = 50_000) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat_bytes, id_text
+from .common import by_bytes, flat_bytes, id_text, map_arrow
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "name")
@@ -268,7 +268,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
             names=["pattern", "n"],
         )
 
-    sums = id_text(docs, id_col, text_col).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    sums = map_arrow(id_text(docs, id_col, text_col), run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     counted: Counter = Counter()
     for r in sums.toLocalIterator():
         kind, *rest = r["pattern"].split("|")
@@ -305,6 +305,6 @@ def find_personal_data(
             cols = [pa.array([[s[j] for s in f] for f in found], pa.list_(t)) for j, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "kinds", "starts", "ends", "strict"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, kinds array<string>, starts array<int>, ends array<int>, strict array<boolean>"
+    return map_arrow(
+        id_text(docs, id_col, text_col), run, "doc_id long, kinds array<string>, starts array<int>, ends array<int>, strict array<boolean>"
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
-from .common import by_bytes, flat_bytes, id_text
+from .common import by_bytes, flat_bytes, id_text, map_arrow
 
 #: Order of kinds; the first three are base kinds.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh", "encoded")
@@ -261,7 +261,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols = [pa.array([[s[j] for s in f] for f in found], pa.list_(t)) for j, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "kinds", "starts", "ends"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return map_arrow(id_text(docs, id_col, text_col), run, SCHEMA)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "<removed>") -> str:
@@ -301,4 +301,4 @@ def redact_secrets(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=safe)
 
     to = StructType([StructField(c, f.dataType) for c, f in zip(safe, schema)])
-    return docs.toDF(*safe).mapInArrow(run, to).toDF(*names)
+    return map_arrow(docs.toDF(*safe), run, to).toDF(*names)

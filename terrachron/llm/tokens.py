@@ -13,7 +13,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, id_text
+from .common import by_bytes, id_text, map_arrow
 
 #: Distinct pieces whose counts a worker remembers; beyond, it starts anew.
 MEMORY = 400_000
@@ -109,4 +109,4 @@ def count_tokens(
             size = pa.compute.binary_length(b.column(1)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, n], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, n_bytes long, n_tokens long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import by_bytes, id_text, sampled, written
+from .common import by_bytes, id_text, map_arrow, sampled, written
 
 _HOMOGLYPHS = dict(
     zip(
@@ -167,7 +167,7 @@ def _counted(rows: DataFrame, made, least_toxic: int) -> dict[str, tuple[int, in
                 yield flush()
         yield flush()
 
-    sums = rows.mapInArrow(run, "term string, toxic long, other long").groupBy("term")
+    sums = map_arrow(rows, run, "term string, toxic long, other long").groupBy("term")
     sums = sums.agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).where(F.col("t") + F.col("o") >= least_toxic)
     # Only terms that lean to toxic texts go to the driver; rows are bounded by the sample.
     return sums
@@ -215,7 +215,7 @@ def learn_lexicon(
             cols = [pa.array(held, pa.list_(pa.int32())), pa.array([_sketch(x) for x in made], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["held", "sketch"])
 
-    toxic = rows.where("toxic = 1").select("text").mapInArrow(incidence, "held array<int>, sketch array<long>")
+    toxic = map_arrow(rows.where("toxic = 1").select("text"), incidence, "held array<int>, sketch array<long>")
     names = list(strong)
     texts = [([names[i] for i in r["held"]], frozenset(r["sketch"])) for r in toxic.toLocalIterator() if r["held"]]
     picked = _pick(strong, texts, totals[1] / (totals[0] + totals[1]), max(1, counts.count()), least_texts)
@@ -311,7 +311,7 @@ def _fitted(rows: DataFrame, lexicon: Lexicon, steps: int = 60) -> Lexicon:
             cols = [pa.array([round(x[k], 2) for x in f], pa.float64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*cols, b.column(1)], names=["a", "b", "toxic"])
 
-    got = rows.select("text", "toxic").mapInArrow(run, "a double, b double, toxic int").groupBy("a", "b", "toxic").count().toArrow()
+    got = map_arrow(rows.select("text", "toxic"), run, "a double, b double, toxic int").groupBy("a", "b", "toxic").count().toArrow()
     x = np.column_stack([np.ones(got.num_rows), got["a"].to_numpy(), got["b"].to_numpy()])
     y, n = got["toxic"].to_numpy().astype(float), got["count"].to_numpy().astype(float)
     w, ridge = np.zeros(3), np.array([0.1, 1.0, 1.0])
@@ -344,7 +344,7 @@ def score_toxicity(
             cols = [b.column(0), pa.array([x[0] for x in made], pa.float64()), pa.array([x[1] for x in made], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "n_terms"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, n_terms long")
+    return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, score double, n_terms long")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, batch_bytes: int = 4 << 20) -> DataFrame:
@@ -363,4 +363,4 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, batch_
             yield b.filter(pa.array([lex.score(fold(t or ""))[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     to = StructType([StructField(c, f.dataType) for c, f in zip(safe, schema)])
-    return docs.toDF(*safe).mapInArrow(run, to).toDF(*names)
+    return map_arrow(docs.toDF(*safe), run, to).toDF(*names)
