@@ -12,7 +12,6 @@ the shortest window are indexed, all others cannot hold one, so that this is exa
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import id_text
+from .common import by_bytes, drop_path, id_text, map_arrow, written
 
 #: A-Z to a-z; bytes of no word (0x00-0x2F, 0x3A-0x60, 0x7B-0x7F) to a space.
 _TABLE = bytes(
@@ -266,7 +265,7 @@ class Searcher:
         self.kept += len(kept) if kept else 0
 
     def full(self) -> bool:
-        return self.shard.size >= self.most or len(self.rows) >= 50_000 or self.kept > 32 << 20
+        return self.shard.size >= self.most or len(self.rows) >= 50_000 or self.kept > 8 << 20
 
     def flush(self) -> Iterator[tuple[int, bytes | None, tuple, np.ndarray, set[str]]]:
         """(number of words, text where kept, what came with it, places hit, items) of each row."""
@@ -291,13 +290,85 @@ SCHEMA = (
 )
 
 
-def _items(benchmark: DataFrame, most: int) -> Broadcast:
-    """The items, sent to the workers once their size is known to be at most ``most`` bytes."""
-    bench = id_text(benchmark, "item_id", "text")
+def _overlapping(w: list[bytes], window: int, most: int) -> Iterator[bytes]:
+    """The words as texts of about ``most`` bytes, each window whole in one of them."""
+    at = 0
+    while at < len(w):
+        end, size = min(len(w), at + window), sum(len(x) + 1 for x in w[at : at + window])
+        while end < len(w) and size + len(w[end]) < most:
+            size += len(w[end]) + 1
+            end += 1
+        yield b" ".join(w[at:end])
+        if end == len(w):
+            return
+        at = end - window + 1
+
+
+def _parts(benchmark: DataFrame, window: int, most: int, keep: list[str]) -> list[DataFrame]:
+    """The items (item_id, text) in parts of at most ``most`` bytes of text: one, unless the benchmark is larger.
+
+    Long items of a larger one are cut into pieces that share all but one word of a window.
+    """
+    bench = id_text(benchmark, "item_id", "text").withColumnRenamed("doc_id", "item_id")
     size = bench.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > most:
-        raise ValueError(f"benchmark texts take {size} bytes, more than max_benchmark_bytes={most}")
-    return benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in bench.toLocalIterator()])
+    if size <= most:
+        return [bench]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, 4 << 20):
+            for item, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                for piece in _overlapping(words(raw), window, max(1, most // 8)):
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.int64()), pa.array([piece.decode()], pa.string())], names=["item_id", "text"])
+
+    cut_up = written(map_arrow(bench, cut, "item_id long, text string").distinct(), keep)
+    n, pieces = 2, cut_up.count()
+    part = lambda n: F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    while n <= 4 * pieces:
+        largest = cut_up.groupBy(part(n).alias("part")).agg(F.sum(F.octet_length("text")).alias("size")).agg(F.max("size")).first()[0]
+        if largest <= most:
+            break
+        n *= 2
+    return [cut_up.where(part(n) == p) for p in range(n)]
+
+
+def _shared(part: DataFrame) -> Broadcast:
+    """A part of the items (of a size that :func:`_parts` bounds), sent to the workers."""
+    return part.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.toLocalIterator()])
+
+
+def _marked(rows: DataFrame, parts: list[DataFrame], window: int, shard_symbols: int, batch_bytes: int, keep: list[str]) -> DataFrame:
+    """``rows`` (c0, ..., one of them ``text``) with places (of words hit) and items, over all parts of a large benchmark.
+
+    A part is searched in each scan; what it finds joins what the parts before found.
+    """
+    at = rows.columns.index("text")
+    rows = rows.withColumns({"places": F.expr("cast(array() as array<int>)"), "items": F.expr("cast(array() as array<string>)")})
+    for part in parts:
+        shared = _shared(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            found = Searcher(shared.value, window, shard_symbols)
+            for b in by_bytes(batches, batch_bytes):
+                places, items = (b.column(b.num_columns - k).to_pylist() for k in (2, 1))
+
+                def take() -> None:
+                    for _, _, (k,), more, names in found.flush():
+                        if len(more):
+                            places[k] = sorted({*places[k], *more.tolist()})
+                            items[k] = sorted({*items[k], *names})
+
+                for k, raw in enumerate(b.column(at).cast(pa.binary()).to_pylist()):
+                    found.add(raw, False, k)
+                    if found.full():
+                        take()
+                take()
+                new = [pa.array(places, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], *new], names=b.schema.names)
+
+        before = rows
+        rows = written(map_arrow(before, run, before.schema), keep)
+        shared.unpersist()
+    return rows
 
 
 def find_contamination(
@@ -308,6 +379,7 @@ def find_contamination(
     window: int = 10,
     shard_symbols: int = 500_000,
     max_benchmark_bytes: int = 64 << 20,
+    batch_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Occurrences of benchmark windows in documents, one row per document row.
 
@@ -317,39 +389,54 @@ def find_contamination(
     items (sorted as strings) and spans (code points, end exclusive; touching hit words
     are one span).
 
-    Null or empty texts and texts without words have no words and no hit. Repeated rows
-    are each answered. Equal item ids with other texts count as one item; items without
-    words have no window; an empty benchmark contaminates nothing. Other columns of
-    either table are ignored. The benchmark must stay under ``max_benchmark_bytes`` of
-    text, which is checked before it is sent to the workers (ValueError beyond).
+    Null or empty texts and texts without words have no words and no hit; long texts are
+    searched whole. Repeated rows are each answered. Equal item ids with other texts count
+    as one item; items without words have no window; an empty benchmark contaminates
+    nothing, an empty table of documents gives no rows. Other columns of either table are
+    ignored.
 
-    One scan of the documents, no shuffle. Each task indexes its documents in shards of
-    about ``shard_symbols`` candidate words.
+    One scan of the documents, no shuffle, while the benchmark's texts take at most
+    ``max_benchmark_bytes``, which is counted before they are sent to the workers; a larger
+    one is sent in parts of that size, with a scan of the documents for each. Each task
+    indexes its documents in shards of about ``shard_symbols`` candidate words.
     """
-    shared = _items(benchmark, max_benchmark_bytes)
     types = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
     names = ["doc_id", "n_words", "n_hit", "n_items", "items", "spans"]
 
+    def row(doc: int, n: int, raw: bytes | None, places: np.ndarray, items: list[str]) -> tuple:
+        spans = code_points(raw, word_spans(raw, places)) if len(places) else []
+        return doc, n, len(places), len(items), items, [{"start": a, "end": b} for a, b in spans]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*rows) if rows else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    keep: list[str] = []
+    parts = _parts(benchmark, window, max_benchmark_bytes, keep)
+    texts = id_text(docs, id_col, text_col)
+    if len(parts) > 1:
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in by_bytes(batches, batch_bytes):
+                cols = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
+                yield batch([row(doc, len(words(raw)), raw, np.array(p, np.int64), items) for doc, raw, p, items in zip(*cols)])
+
+        marked = _marked(texts, parts, window, shard_symbols, batch_bytes, keep)
+        for path in keep[:-1]:
+            drop_path(docs.sparkSession, path)
+        return map_arrow(marked, finish, SCHEMA)
+    shared = _shared(parts[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Searcher(shared.value, window, shard_symbols)
-
-        def flush() -> pa.RecordBatch:
-            cols: list[list] = [[] for _ in names]
-            for n, raw, (doc,), places, items in found.flush():
-                spans = code_points(raw, word_spans(raw, places)) if len(places) else []
-                row = (doc, n, len(places), len(items), sorted(items), [{"start": a, "end": b} for a, b in spans])
-                for c, v in zip(cols, row):
-                    c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-
-        for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+        for b in by_bytes(batches, batch_bytes):
+            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 found.add(raw, False, doc)
                 if found.full():
-                    yield flush()
-        yield flush()
+                    yield batch([row(doc, n, raw, places, sorted(items)) for n, raw, (doc,), places, items in found.flush()])
+        yield batch([row(doc, n, raw, places, sorted(items)) for n, raw, (doc,), places, items in found.flush()])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return map_arrow(texts, run, SCHEMA)
 
 
 def decontaminate(
@@ -358,42 +445,64 @@ def decontaminate(
     window: int = 10,
     shard_symbols: int = 500_000,
     max_benchmark_bytes: int = 64 << 20,
+    batch_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """The documents with benchmark passages cut out of their texts; all columns stay.
-
-    Needs the column ``text``; a text without hit (null included) stays as it is. A cut
-    text is searched again, so that no window arises where it was joined. A column
-    ``n_chars``, if there is one, is counted anew for texts that were cut. The texts are
-    cut in the scan that finds the passages: nothing is joined or shuffled.
+    """The documents with benchmark passages cut out of their texts; all columns and rows stay.
+
+    Needs the column ``text``; a text without hit (null and empty ones included) stays as it
+    is, long texts are searched whole, repeated rows are each cut, an empty table stays
+    empty. A cut text is searched again, so that no window arises where it was joined. A
+    column ``n_chars``, if there is one, is counted anew for texts that were cut. The texts
+    are cut in the scan that finds the passages: nothing is joined or shuffled. A benchmark
+    of more than ``max_benchmark_bytes`` is searched in parts, a scan of the texts for each,
+    until no text has a hit.
     """
-    shared = _items(benchmark, max_benchmark_bytes)
     names, schema = docs.columns, docs.schema
     at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else -1
+    safe = [f"c{i}" if i != at else "text" for i in range(len(names))]
+    to = StructType([StructField(c, f.dataType) for c, f in zip(safe, schema)])
+
+    def with_texts(b: pa.RecordBatch, texts: list[bytes | None], new: dict[int, bytes]) -> list[pa.Array]:
+        """The columns of the documents, some texts (by row) replaced."""
+        cols = list(b.columns[: len(safe)])
+        if new:
+            cols[at] = pa.array([new.get(k, raw) for k, raw in enumerate(texts)], pa.binary()).cast(cols[at].type)
+            if count >= 0:
+                old = cols[count].to_pylist()
+                cols[count] = pa.array([len(new[k].decode()) if k in new else v for k, v in enumerate(old)], cols[count].type)
+        return cols
+
+    keep: list[str] = []
+    parts = _parts(benchmark, window, max_benchmark_bytes, keep)
+    if len(parts) > 1:
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in by_bytes(batches, batch_bytes):
+                texts = b.column(at).cast(pa.binary()).to_pylist()
+                places = b.column(len(safe)).to_pylist()
+                new = {k: without(raw, word_spans(raw, np.array(p, np.int64))) for k, (raw, p) in enumerate(zip(texts, places))}
+                yield pa.RecordBatch.from_arrays(with_texts(b, texts, new), names=safe)
+
+        done, todo = None, docs.toDF(*safe)
+        while True:
+            marked = _marked(todo, parts, window, shard_symbols, batch_bytes, keep)
+            clean, hit = marked.where("size(places) = 0").select(*safe), marked.where("size(places) > 0")
+            done = clean if done is None else done.unionByName(clean)
+            if hit.isEmpty():
+                return done.toDF(*names)
+            todo = written(map_arrow(hit, cut, to), keep)
+    shared = _shared(parts[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Searcher(shared.value, window, shard_symbols)
-        for batch in batches:
-            cols = list(batch.columns)
-            texts = cols[at].cast(pa.binary()).to_pylist()
+        for b in by_bytes(batches, batch_bytes):
+            new: dict[int, bytes] = {}
+            texts = b.column(at).cast(pa.binary()).to_pylist()
             for k, raw in enumerate(texts):
                 found.add(raw, False, k)
-            new = {
-                k: found.cleaned(raw, places) for _, raw, (k,), places, _ in list(found.flush()) if len(places)
-            }
-            if new:
-                cols[at] = pa.array([new.get(k, raw) for k, raw in enumerate(texts)], pa.binary()).cast(cols[at].type)
-                if count >= 0:
-                    old = cols[count].to_pylist()
-                    cols[count] = pa.array(
-                        [len(new[k].decode()) if k in new else v for k, v in enumerate(old)], cols[count].type
-                    )
-            yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
-
-    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(
-        run, StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
-    ).toDF(*names)
-
-
-def items_sha256(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+                if found.full() or k + 1 == len(texts):
+                    new |= {j: found.cleaned(own, places) for _, own, (j,), places, _ in list(found.flush()) if len(places)}
+            yield pa.RecordBatch.from_arrays(with_texts(b, texts, new), names=safe)
+
+    return map_arrow(docs.toDF(*safe), run, to).toDF(*names)

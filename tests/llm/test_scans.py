@@ -1,7 +1,6 @@
 """Decontamination, secrets, personal data, tokens: brute force, round trips and odd inputs."""
 
 import base64
-import hashlib
 import json
 import random
 import re
@@ -55,6 +54,34 @@ def test_contamination_against_brute_force(spark, docs_of):
     assert all(r.n_chars == len(r.text) for r in cut if r.text is not None)
 
 
+def test_benchmark_in_parts(spark, docs_of):
+    rng = random.Random(11)
+    word = lambda: rng.choice("ab cd ef gh ij kl".split())
+    items = [(k, " ".join(word() for _ in range(rng.choice([3, 10, 14, 400])))) for k in range(12)] + [(3, "ab cd " * 8), (50, None), (51, "...")]
+    rows = [(k, " ".join(word() for _ in range(rng.choice([0, 5, 60])))) for k in range(60)] + [(70, None), (70, None)]
+    rows += [(100 + k, f"x {t} y") for k, t in items[:6]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    keep = []
+    assert len(decontam._parts(bench, 10, 1500, keep)) > 1
+    whole, parts = (sorted(map(tuple, decontam.find_contamination(docs_of(rows), bench, max_benchmark_bytes=n).collect()), key=repr) for n in (1 << 20, 1500))
+    assert whole == parts and any(r[2] for r in whole)
+    df = docs_of(rows)
+    cleaned = decontam.decontaminate(df, bench, max_benchmark_bytes=1500)
+    assert cleaned.columns == df.columns and cleaned.count() == len(rows)
+    assert decontam.find_contamination(cleaned, bench).where("n_hit > 0").count() == 0
+    assert cleaned.where("text is not null and n_chars <> length(text)").count() == 0
+
+
+def test_decontaminate_in_small_shards(spark, docs_of):
+    rng = random.Random(12)
+    word = lambda: rng.choice("ab cd ef gh".split())
+    bench = spark.createDataFrame([(k, " ".join(word() for _ in range(12))) for k in range(20)], "item_id long, text string")
+    rows = [(k, " ".join(word() for _ in range(rng.choice([5, 80])))) for k in range(80)] + [(100 + r.item_id, f"gh {r.text} ef") for r in bench.collect()]
+    one, many = (sorted((r.doc_id, r.text) for r in decontam.decontaminate(docs_of(rows), bench, **more).collect()) for more in ({}, {"shard_symbols": 50, "batch_bytes": 900}))
+    assert one == many and one != sorted(rows)
+    assert decontam.decontaminate(docs_of([]), bench).count() == 0
+
+
 def test_contamination_of_nothing(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r.n_hit == 0 for r in decontam.find_contamination(docs_of(ODD), none).collect())
@@ -245,7 +272,3 @@ def test_packing_ids_equal_the_library():
     assert encode.plain and encode.direct
     want = [np.array(encode.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd_texts()]
     assert encode(odd_texts()) == want
-
-
-def test_hash_of_items():
-    assert decontam.items_sha256(["1", "2"]) == hashlib.sha256(b"1,2").hexdigest()
