@@ -1,10 +1,11 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining.
 
 A document is a weighted set: its shingles of three words, weighted by how often each
-occurs. For every unit of weight of an element, hashed darts fall as a Poisson process
-along an axis of ranks, in cells of width one; a dart belongs to one of k coordinates by
-its hash, and each coordinate keeps its earliest dart. Two documents agree in a
-coordinate with the probability of their weighted Jaccard similarity.
+occurs. For every element, hashed darts fall as a Poisson process on a plane of weights and
+ranks, in cells of area one; those within the region below the element's weight count. A
+dart belongs to one of k coordinates by its hash, and each coordinate keeps its earliest
+dart, by rank. Two documents agree in a coordinate with the probability of their weighted
+Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, drop_path, flat_bytes, id_text, written
+from .common import by_bytes, drop_path, flat_bytes, id_text, map_arrow, written
 
 #: Coordinates; coordinates of a band. Bands are cut from the coordinates in two orders.
 K, ROWS = 256, 4
@@ -45,29 +46,40 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return lower, word
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Powers that a worker keeps; longer texts make their own and drop them.
+_KEPT = 1 << 19
+_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of an odd number modulo 2**64, and of its inverse."""
-    if len(_POWERS[0]) <= n:
-        for k, base in enumerate((_R, pow(_R, -1, 1 << 64))):
+    """Powers 0..n (at least) of an odd number modulo 2**64, and of its inverse."""
+
+    def make(n: int) -> tuple[np.ndarray, ...]:
+        out = []
+        for base in (_R, pow(_R, -1, 1 << 64)):
             a = np.full(n + 1, base, np.uint64)
             a[0] = 1
-            _POWERS[k] = np.multiply.accumulate(a)
+            out.append(np.multiply.accumulate(a, out=a))
+        return tuple(out)
+
+    if n > _KEPT:
+        return make(n)
+    if not _POWERS:
+        _POWERS.extend(make(_KEPT))
     return _POWERS[0], _POWERS[1]
 
 
-def elements(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of every unit of weight of the documents in a buffer, sorted by document.
+def elements(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash, weight) of the different shingles of the documents in a buffer, sorted by document.
 
-    The n-th occurrence of a shingle has a hash of its own. Documents of one or two words
-    have one shingle; those without words have none.
+    A shingle's weight is how often it occurs. Documents of one or two words have one
+    shingle; those without words have none.
     """
+    none = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.float64)
     lower, is_word = _tables()
     n = len(data)
     if not n:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return none
     inside = is_word[data]
     edge = np.zeros(n + 1, bool)
     edge[at[:-1]] = True
@@ -75,7 +87,7 @@ def elements(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(inside & (edge[:-1] | np.concatenate([[True], ~inside[:-1]])))
     ends = np.flatnonzero(inside & (edge[1:] | np.concatenate([~inside[1:], [True]]))) + 1
     if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return none
     power, inverse = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((lower[data] + np.uint64(1)) * power[:n], out=sums[1:])
@@ -93,20 +105,27 @@ def elements(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h, doc = _mix(h[keep]), doc[keep]
     order = np.argsort(h ^ _mix(doc.astype(np.uint64) + np.uint64(0x1234567)))
     h, doc = h[order], doc[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-    nth = np.arange(len(h)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    h = _mix(h + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
+    weight = np.diff(np.append(first, len(h))).astype(np.float64)
+    h, doc = h[first], doc[first]
     order = np.argsort(doc, kind="stable")
-    return doc[order], h[order]
+    return doc[order], h[order], weight[order]
 
 
 #: P(a cell of area one holds at most n darts).
 _POISSON = np.exp(-1) * np.cumsum([1 / float(np.prod(np.arange(1, n + 1, dtype=float))) for n in range(16)])
 
 
-def _throw(doc: np.ndarray, h: np.ndarray, reach: np.ndarray, out: np.ndarray) -> None:
-    """Throw the darts of the elements with ranks below their ``reach``; keep the earliest of each coordinate."""
+def _throw(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, reach: np.ndarray, out: np.ndarray) -> None:
+    """Throw the darts of the elements' regions (weights below ``weight``, ranks below ``reach``); keep the earliest of each coordinate."""
     k = out.shape[1]
+    # Columns of cells, one for each begun unit of weight: part of the last one is above the weight.
+    columns = np.ceil(weight).astype(np.int64)
+    unit = np.repeat(np.arange(len(h)), columns)
+    column = np.arange(len(unit)) - np.repeat(np.cumsum(columns) - columns, columns)
+    doc, reach, part = doc[unit], reach[unit], weight[unit] - column
+    h = _mix(h[unit] + column.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    whole = bool((part >= 1).all())
     cells = np.ceil(reach).astype(np.int64)
     piece = 1 << 18
     total = np.concatenate([[0], np.cumsum(cells)])
@@ -122,6 +141,8 @@ def _throw(doc: np.ndarray, h: np.ndarray, reach: np.ndarray, out: np.ndarray) -
         d = _mix(c[many] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8EBC6AF09C88C6E3))
         rank = cell[many] + (d >> np.uint64(32)).astype(np.float64) * 2.0**-32
         ok = rank < reach[which[many]]
+        if not whole:
+            ok &= (d & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 < part[which[many]]
         d, rank, row = _mix(d[ok]), rank[ok], doc[which[many[ok]]]
         place = row * k + ((d >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
         value = ((rank * 2.0**32).astype(np.uint64) << np.uint64(16)) | (d & np.uint64(0xFFFF))
@@ -133,15 +154,17 @@ def signatures(data: np.ndarray, at: np.ndarray, k: int = K) -> np.ndarray:
     """[document, k] 16-bit prints of the earliest darts; rows of documents without words are zero.
 
     Ranks up to (ln k + 3) k / weight leave few coordinates without a dart; documents with
-    such a coordinate are thrown again, twice as far, until there is none.
+    such a coordinate are thrown again, twice as far, until there is none. Ranks end at
+    60,000, the most that a key holds: an element of weight one has so many darts there that
+    no coordinate is left without one.
     """
     n = len(at) - 1
-    doc, h = elements(data, at)
-    weight = np.bincount(doc, minlength=n)
+    doc, h, own = elements(data, at)
+    weight = np.bincount(doc, weights=own, minlength=n)
     best = np.full((n, k), _NONE)
     todo, far = np.ones(len(doc), bool), (np.log(k) + 3) * k
     while todo.any():
-        _throw(doc[todo], h[todo], np.minimum(far / weight[doc[todo]], 60_000.0), best)
+        _throw(doc[todo], h[todo], own[todo], np.minimum(far / weight[doc[todo]], 60_000.0), best)
         todo &= (best == _NONE).any(axis=1)[doc]
         far *= 2
     return (np.where(best == _NONE, np.uint64(0), best) & np.uint64(0xFFFF)).astype("<u2")
@@ -173,7 +196,7 @@ def text_key(text: Column, doc_id: Column) -> Column:
     return F.unhex(F.md5(F.when(F.length(text) > 0, text).otherwise(F.concat(F.lit("\x00"), F.coalesce(doc_id.cast("string"), F.lit(""))))))
 
 
-def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 19) -> DataFrame:
     """doc_id, key of the text, sig (null where there are no words) of each document row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +208,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), col], names=["doc_id", "key", "sig"])
 
     rows = id_text(docs, id_col, text_col).withColumn("key", text_key(F.col("text"), F.col("doc_id")))
-    return rows.mapInArrow(run, "doc_id long, key binary, sig binary")
+    return map_arrow(rows, run, "doc_id long, key binary, sig binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -237,8 +260,8 @@ def _sets(texts: DataFrame) -> DataFrame:
                 nodes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[many])]).astype(np.int32)), pa.array(node))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), nodes], names=["bucket", "nodes"])
 
-    members = texts.select("node", "sig").mapInArrow(bands, "bucket long, node long")
-    found = members.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(meet, "bucket long, nodes array<long>")
+    members = map_arrow(texts.select("node", "sig"), bands, "bucket long, node long")
+    found = map_arrow(members.repartition("bucket").sortWithinPartitions("bucket", "node"), meet, "bucket long, nodes array<long>")
     first = F.min(F.struct((F.col("bucket").bitwiseAND(F.lit(0xFF))).alias("band"), "bucket")).alias("first")
     return found.groupBy("nodes").agg(first).select("first.bucket", "nodes")
 
@@ -321,7 +344,7 @@ def _links(texts: DataFrame, threshold: float, keep: list[str]) -> DataFrame:
         for t, at in _runs(batches, 3):
             yield _compare(t, at, threshold)
 
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(run, "node long, n long, sim double, low long")
+    return map_arrow(rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node"), run, "node long, n long, sim double, low long")
 
 
 def components(links: DataFrame, keep: list[str]) -> DataFrame:
