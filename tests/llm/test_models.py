@@ -22,7 +22,7 @@ ODD = [(901, None), (902, ""), (903, "   \n"), (904, "..."), (904, "..."), (905,
 def test_plans_hold_every_piece(seed):
     rng = random.Random(seed)
     counts = Counter(rng.choice([rng.randint(1, 100), rng.randint(40, 60), 100]) for _ in range(rng.choice([1, 30, 400])))
-    plan = packing.complete(counts, 100)
+    plan = packing.complete(counts, 100, budget=20_000)
     held = Counter()
     for pattern, n in plan:
         assert sum(s * c for s, c in pattern) <= 100 and n > 0
@@ -39,12 +39,43 @@ def test_bin_completion_beats_best_fit():
     assert packing.complete({}, 10) == []
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_bin_completion_is_optimal(seed):
+    rng = random.Random(seed)
+    sizes = sorted((rng.randint(*rng.choice([(1, 30), (20, 60)])) for _ in range(9)), reverse=True)
+
+    def least(k, rooms, held):
+        if len(rooms) >= held:
+            return held
+        if k == len(sizes):
+            return len(rooms)
+        for room in set(rooms):
+            if room >= sizes[k]:
+                left = list(rooms)
+                left.remove(room)
+                held = least(k + 1, [*left, room - sizes[k]], held)
+        return least(k + 1, [*rooms, 60 - sizes[k]], held)
+
+    assert sum(n for _, n in packing.complete(Counter(sizes), 60)) == least(0, [], len(sizes))
+
+
+def test_bin_completion_backtracks():
+    rng = random.Random(9)
+    better = 0
+    for _ in range(8):
+        counts = Counter(rng.choice([rng.randint(1, 100), rng.randint(40, 60), rng.randint(25, 50)]) for _ in range(60))
+        bins = sum(n for _, n in packing.complete(counts, 100, budget=30_000))
+        better += bins < sum(n for _, n in packing.best_fit(counts, 100))
+        assert packing.lower_bound(counts, 100) <= bins
+    assert better
+
+
 def test_packed_documents(spark, docs_of):
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choice(["alpha", "b", "gamma ray"]) for _ in range(rng.choice([3, 40, 900])))) for k in range(60)] + ODD
     path = public_tokenizers.path("byte_bpe_50k.json")
     encode = packing.ByteLevel(path)
-    got = packing.pack(docs_of(rows), path, capacity=256).collect()
+    got = packing.pack(docs_of(rows), path, capacity=256, budget=20_000).collect()
     bins = defaultdict(list)
     for r in got:
         bins[r.sequence_id].append((r.offset, r.length))
@@ -185,20 +216,23 @@ def test_components_of_a_chain(spark):
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(7)
     v = rng.integers(-9, 10, (400, 8)).astype(float)
-    v[50:90] = v[7]  # ties and repeats
+    v[50:170] = v[7]  # ties and repeats: more than a shard holds
     rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(7, v[7].tolist())]
+    rows += [(2000 + k % 2, []) for k in range(3)]
     rows += [(1000, None), (1001, [None] * 8), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (1004, [1.0, 2.0]), (None, v[1].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>").withColumn("rank", F.lit(1))
     asked = df.where("vec_id % 10 = 0")
     good = [(i, np.array(x)) for i, x in rows if i is not None and x and i < 1000]
-    for shard, pilot in ((64, 32), (10_000, 1)):
+    for settings in ({"shard_rows": 64, "leaf": 8, "pass_rows": 30}, {"shard_rows": 128, "max_roots": 0, "max_pivots": 1}):
         got = defaultdict(list)
-        for r in topk.top_k(df, asked, k=15, shard_rows=shard, block_rows=16, pilot_rows=pilot, leaf=8).collect():
+        for r in topk.top_k(df, asked, k=15, **settings).collect():
             got[r.query_id].append((r["rank"], r.vec_id, r.score))
+        assert got.pop(2000) == [(1, 2001, 0)] and set(got) == {i for i, _ in good if i % 10 == 0}
         for i, q in good:
             if i % 10 == 0:
                 want = sorted((-int(q @ c), j) for j, c in good if j != i)[:15]
                 assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
+    assert {r.shard for r in topk._shards(df.where("vec_id < 400 and v is not null").select("vec_id", "v"), 400, 32, 64, []).collect()} > set(range(8))
     few = df.where("vec_id < 3")
     assert topk.top_k(few, few, k=20).count() == 6
     assert topk.top_k(df.limit(0), df.limit(0), k=3).count() == 0
