@@ -336,11 +336,41 @@ def test_style_tree_drops_what_a_site_repeats(spark):
         rows.append((k, f"http://User@Host.example:80/{k}", f"<body>{body}</body>"))
     rows += [(100, "http://small.example/", "<body><div class=x><p>Same on all pages of the site</p></div></body>"), (101, None, None), (102, "no url", ""), (102, "no url", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("low", F.lit(2))
-    for hosts in (20_000, 0):
-        got = {r.page_id: r for r in html.extract(df, broadcast_hosts=hosts).collect()}
+    for size in (1 << 20, 0):
+        got = {r.page_id: r for r in html.extract(df, broadcast_bytes=size).collect()}
         assert got[3].text == "Own text 3 of the page" and got[100].text == "Same on all pages of the site"
         assert got[101].text == "" and got[101].url is None and got[102].text == ""
-    assert html.extract(df, broadcast_hosts=0).count() == len(rows) and html.extract(df.limit(0)).count() == 0
+    assert html.extract(df, broadcast_bytes=0).count() == len(rows) and html.extract(df.limit(0)).count() == 0
+
+
+def test_parts_of_an_article_stay():
+    inside = "<p>one</p><div class=legal>two</div><div class=related>three</div><math><mi>x</mi></math><svg><text>y</text></svg><p>four</p>"
+    assert html.main_text(f"<article>{inside}</article>") == "one\n\ntwo\n\nthree\n\nx\n\ny\n\nfour"
+    assert html.main_text("<article><p>a</p><div class=related><a>x</a> <a>y</a></div><div class=ad>z</div><form>f</form></article>") == "a"
+    assert html.main_text("<form id=page><main><article><p>x</p></article></main></form><form>mail</form>") == "x"
+    assert html.main_text("<div class='page has-sidebar'><article>in</article><div class=sidebar>s</div></div>") == "in"
+    assert html.main_text("<article>post</article><article class=comment>reply</article>") == "post"
+    assert html.main_text("<div class=zork><a>A</a> <a>B</a> <a>C</a></div><div><p>text</p></div>") == "text"
+
+
+def test_deep_and_long_pages():
+    parts = [f"<div class=a>{k} " for k in range(3000)]
+    assert html.main_text("".join(parts)).split() == [str(k) for k in range(3000)]
+    assert len({p for p, *_ in html.features("".join(parts))}) == 3001  # nodes of deep pages stay apart
+    one, two = (f"<div class='{'x' * 80}{c}'>t</div>" for c in "ab")
+    assert {p for p, *_ in html.features(one)} != {p for p, *_ in html.features(two)}
+    assert html.main_text(f"<article><p>{'word ' * 300_000}</p></article>") == ("word " * 300_000).strip()
+
+
+def test_style_tree_inside_articles(spark):
+    rows = [(k, f"http://h.example/{k}", f"<article><p>Own {k}</p><div class=x>Same</div><div class=legal>Terms</div></article>") for k in range(12)]
+    rows += [(100 + k, f"http://two.example/{k}", f"<article><p>Own {k}</p><div class=x>Same</div></article>") for k in range(2)]
+    rows += [(200 + k, f"http://copies.example/{k}", f"<nav>{k}</nav><article><p>All alike</p></article>") for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all(got[k] == f"Own {k}" for k in range(12))
+    assert all(got[100 + k] == f"Own {k}\n\nSame" for k in range(2))  # too few pages to judge parts of an article
+    assert all(got[200 + k] == "All alike" for k in range(9))  # never all of a page's text
 
 
 def test_style_tree_judges_small_sites(spark):
