@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
 Texts are folded first: case, homoglyphs, and digits or signs that stand for letters;
-whole words without accents in the lexicon match accented forms too. Hits of the lexicon (words, or stems that take any ending) count by weight, less
-those in exception phrases, and are set against the length of the text.
+whole words without accents in the lexicon match accented forms too. Hits of the lexicon
+(words, or stems that take any ending) count by weight, less those in exception phrases,
+and are set against the length of the text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import by_bytes, id_text, map_arrow, sampled, written
+from .common import by_bytes, drop_path, id_text, map_arrow, sampled, written
 
 _HOMOGLYPHS = dict(
     zip(
@@ -120,10 +121,10 @@ class Lexicon:
         return [x for at, x in words.items() if not any(a <= at < e for a, e in spared)]
 
     def features(self, folded: str) -> tuple[float, float, int]:
-        """Log of the summed weights, their share by the square root of the length in words, words hit."""
+        """Log of the summed weights, their share of the length in words (1 from a fiftieth on), words hit."""
         hits = self.hits(folded)
         total = sum(w for w, _ in hits)
-        return math.log1p(total), total / math.sqrt(1 + folded.count(" ")) if total else 0.0, len(hits)
+        return math.log1p(total), min(1.0, 50 * total / (1 + folded.count(" "))) if total else 0.0, len(hits)
 
     def score(self, folded: str) -> tuple[float, int]:
         """The score, and the number of words hit."""
@@ -138,13 +139,19 @@ def default_lexicon() -> Lexicon:
     return Lexicon({fold(t.rstrip("*")) + "*" * t.endswith("*"): 1.0 for t in terms}, (fold("trash can"), fold("trash bin")))
 
 
-def _terms(folded: str, least: int, most: int) -> set[str]:
-    """Words (marked by a trailing space) and their beginnings of ``least`` to ``most`` letters."""
-    out = set()
-    for w in set(folded.split()):
-        out.add(w + " ")
-        out.update(w[:n] for n in range(least, min(most, len(w)) + 1))
-    return out
+def _terms(folded: str, least: int = 3, most: int = 8, one_in: int = 200) -> set[str]:
+    """Words (marked by a trailing space) and beginnings of ``least`` to ``most`` letters that at least one word in ``one_in`` has.
+
+    A stem that turns up by chance is rarer than that in all but short texts.
+    """
+    words = Counter(folded.split())
+    counts: Counter = Counter()
+    for w, n in words.items():
+        counts[w + " "] = n
+        for k in range(least, min(most, len(w)) + 1):
+            counts[w[:k]] += n
+    total = sum(words.values())
+    return {t for t, n in counts.items() if n * one_in >= total}
 
 
 def _counted(rows: DataFrame, made, least_toxic: int) -> dict[str, tuple[int, int]]:
@@ -184,9 +191,10 @@ def learn_lexicon(
     """A lexicon from labelled documents (``labels``: id, toxic 0 or 1).
 
     At most about ``max_labelled`` labelled rows, chosen by a hash of the id, are used, each
-    distinct text once. Terms are words and beginnings of words that are at least
-    ``least_odds`` times as frequent in toxic texts, by more than chance; words that only
-    ride along in near copies of one text stay out. A word that is toxic but harmless after or before a certain word gives an exception
+    distinct text once; null texts and labels, and ids without a text, are left out. Terms
+    are words and beginnings of words that at least ``least_odds`` times as many of the toxic
+    texts hold (as one word in 200 or more), by more than chance; words that only ride along
+    in near copies of one text stay out. A word that is toxic but harmless after or before a certain word gives an exception
     phrase. Without labels of both kinds, the default lexicon is returned.
     """
     marked = sampled(labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, "toxic"), id_col, max_labelled)
@@ -196,22 +204,31 @@ def learn_lexicon(
         docs.select(id_col, F.col("text")).where(F.col("text").isNotNull()).join(F.broadcast(marked), id_col)
         .select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("key"))
     )
-    rows = written(rows.dropDuplicates(["key"]))  # bounded by the sample, read several times
+    keep: list[str] = []
+    rows = written(rows.dropDuplicates(["key"]), keep)  # bounded by the sample, read several times
+    try:
+        return _learned(rows, least_texts, least_odds)
+    finally:
+        drop_path(docs.sparkSession, keep[0])
+
+
+def _learned(rows: DataFrame, least_texts: int, least_odds: float) -> Lexicon:
+    """The lexicon of (text, toxic) rows."""
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return default_lexicon()
     ratio = totals[1] / totals[0]
-    counts = _counted(rows, lambda t: _terms(t, 3, 8), least_texts)
+    counts = _counted(rows, _terms, least_texts)
     lean = counts.where((F.col("t") >= least_texts) & ((F.col("t") + 0.5) / (F.col("o") + 0.5) >= least_odds * ratio))
     strong = {r["term"]: (r["t"], r["o"]) for r in lean.toLocalIterator()}
 
     # Which toxic texts hold which strong terms: ids of terms, a row a text.
-    known = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(strong)})
+    known = rows.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(strong)})
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 2 << 20):
             made = [fold(x) for x in b.column(0).to_pylist()]
-            held = [sorted({known.value[t] for t in _terms(x, 3, 8) if t in known.value}) for x in made]
+            held = [sorted({known.value[t] for t in _terms(x) if t in known.value}) for x in made]
             cols = [pa.array(held, pa.list_(pa.int32())), pa.array([_sketch(x) for x in made], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["held", "sketch"])
 
@@ -332,8 +349,10 @@ def score_toxicity(
 ) -> DataFrame:
     """doc_id, score (0 to 1) and n_terms (words hit) of each document row.
 
-    A null or empty text has no hits and the score of a harmless text; repeated rows are each
-    answered; other columns are ignored. One scan, no shuffle.
+    A null or empty text has no hits and the score of a harmless text; texts are read whole,
+    however long; repeated rows are each answered; other columns are ignored; an empty table
+    gives no rows. Of the terms that a word matches, the one of most weight counts (equal
+    ones are alike). One scan, no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -350,7 +369,8 @@ def score_toxicity(
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, batch_bytes: int = 4 << 20) -> DataFrame:
     """The documents whose score is under ``threshold``; all columns stay. Needs the column ``text``.
 
-    A null text is as harmless as an empty one. One scan, no shuffle.
+    A null text is as harmless as an empty one; texts are read whole, however long; repeated
+    rows are each judged; an empty table stays empty. One scan, no shuffle.
     """
     names, schema = docs.columns, docs.schema
     at = names.index("text")

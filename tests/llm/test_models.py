@@ -256,6 +256,37 @@ def test_matching_words_stems_and_exceptions():
     assert 0 <= lex.score("")[0] < lex.score(toxicity.fold("trash moron"))[0] <= 1
 
 
+def test_hits_against_a_naive_matcher():
+    rng = random.Random(4)
+    letters = "abcé"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 4)))
+    weights = {word() + rng.choice(["", "*"]): float(rng.randint(1, 5)) for _ in range(12)}
+    spared = tuple({f"{word()} {word()}" for _ in range(6)})
+    lex = toxicity.Lexicon(weights, spared)
+    bare = lambda w: w.replace("é", "e")
+    for _ in range(400):
+        words = [word() for _ in range(rng.randint(0, 12))]
+        out = []
+        for k, w in enumerate(words):
+            found = [x for t, x in weights.items() if (w.startswith(t[:-1]) if t.endswith("*") else w == t)]
+            if "é" in " ".join(words):
+                found += [x for t, x in weights.items() if t.isascii() and not t.endswith("*") and bare(w) == t]
+            pairs = [words[k - 1 : k + 1]] * (k > 0) + [words[k : k + 2]]
+            free = any(" ".join(p) in spared or "é" in " ".join(words) and " ".join(map(bare, p)) in spared for p in pairs)
+            if found and not free:
+                out.append(max(found))
+        assert sorted(w for w, _ in lex.hits(" ".join(words))) == sorted(out)
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    from terrachron.llm import queries
+
+    got = queries.op8_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    n = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n[0, 0] >= 0.995 * (n[0, 0] + n[0, 1])
+
+
 def test_lexicon_is_learned(spark, docs_of):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
