@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DoubleType, IntegerType, StringType, StructType
 
 from . import assemble, planar
 from .geojson import to_geojson
-from .wkb import COLLECTION, NAMES, POINT, all_coords, coords, from_wkb, from_wkt, is_empty, to_wkb, to_wkt
+from .wkb import COLLECTION, LINE, NAMES, POINT, all_coords, coords, from_wkb, from_wkt, is_empty, to_wkb, to_wkt
 
 
 def _on_geometry(f: Callable, returns: DataType) -> Callable[..., Column]:
@@ -41,11 +42,37 @@ def st_makepoint(x: Column | str, y: Column | str) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), _make_point(x, y))
 
 
-@F.pandas_udf(BinaryType())
-def build_way(lons: pd.Series, lats: pd.Series, is_area: pd.Series) -> pd.Series:
+def _ways(lons: pa.Array, lats: pa.Array, areas: pa.Array) -> pa.Array:
+    """WKB of ways; lines, which most of them are, are judged for the whole batch at once."""
+    n = pa.compute.list_value_length(lons).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    xy = np.stack([c.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False) for c in (lons, lats)], axis=1).astype("<f8")
+    ends = np.cumsum(n)
+    at = ends - n
+    count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.append(at, len(xy))])
+    row = np.repeat(np.arange(len(n)), n)
+    unknown, endless = count(np.isnan(xy).any(axis=1)) > 0, count(~np.isfinite(xy).all(axis=1)) > 0
+    moves = count((xy != xy[at[row]]).any(axis=1)) > 0
+    some = n > 0
+    closed = np.zeros(len(n), bool)
+    closed[some] = (xy[at[some]] == xy[ends[some] - 1]).all(axis=1)
+    ring = areas.fill_null(False).to_numpy(zero_copy_only=False) & (n >= 4) & closed
+    line = (n > 1) & ~ring
+    data, out = xy.tobytes(), []
+    for k, (a, m, is_line, good) in enumerate(zip(at.tolist(), n.tolist(), line.tolist(), (~unknown & ~endless & moves).tolist())):
+        if is_line:
+            out.append(_LINE_HEAD + m.to_bytes(4, "little") + data[16 * a : 16 * (a + m)] if good else None)
+        else:
+            out.append(to_wkb(assemble.way(xy[a : a + m], bool(ring[k]))))
+    return pa.array(out, pa.binary())
+
+
+_LINE_HEAD = b"\x01\x02\0\0\0"
+
+
+@F.arrow_udf(BinaryType())
+def build_way(lons: pa.Array, lats: pa.Array, is_area: pa.Array) -> pa.Array:
     """WKB of a way from its vertices' ordinates in order (null: NaN) and whether its tags describe an area."""
-    made = [to_wkb(assemble.way(np.stack([x, y], axis=1).astype("<f8"), bool(a))) for x, y, a in zip(lons, lats, is_area)]
-    return pd.Series(made, dtype=object)
+    return _ways(lons, lats, is_area)
 
 
 def _members(m) -> tuple[list[int], list[str], list]:
@@ -69,22 +96,91 @@ def build_routes(members: pd.Series) -> pd.Series:
 
 
 st_area = _on_geometry(planar.area, DoubleType())
-st_length = _on_geometry(planar.length, DoubleType())
-st_x = _on_geometry(lambda g: g[1][0] if g[0] == POINT and g[1] else np.nan, DoubleType())
-st_y = _on_geometry(lambda g: g[1][1] if g[0] == POINT and g[1] else np.nan, DoubleType())
 st_isvalid = _on_geometry(planar.is_valid, BooleanType())
 st_isempty = _on_geometry(is_empty, BooleanType())
-st_numpoints = _on_geometry(lambda g: len(all_coords(g)), IntegerType())
 
 
-@F.pandas_udf(StringType())
-def _geometry_type(s: pd.Series) -> pd.Series:
-    """By the header alone; the WKB is the engine's own."""
-    return pd.Series([None if b is None else NAMES[int.from_bytes(b[1:5], "little" if b[0] == 1 else "big")].lower() for b in s], dtype=object)
+def _as_column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _code(g: Column, at: int) -> Column:
+    """A byte of WKB below 128, by built-in expressions."""
+    return F.ascii(F.substring(g, at, 1).cast("string"))
+
+
+def _kind(g: Column) -> Column:
+    """The kind of a geometry by its header alone, of either byte order."""
+    return (F.when(_code(g, 1) == 1, _code(g, 2)).otherwise(_code(g, 5))).cast("int")
+
+
+def _is_flat(g: Column, kind: int) -> Column:
+    """Whether WKB is little-endian, two-dimensional and of a kind: then its parts are at known places."""
+    return F.substring(g, 1, 5) == F.lit(bytes([1, kind, 0, 0, 0]))
 
 
 def st_geometrytype(c: Column | str) -> Column:
-    return _geometry_type(F.col(c) if isinstance(c, str) else c)
+    """Lower-case name of the kind, without parsing; null for null."""
+    g = _as_column(c)
+    return F.when(g.isNotNull(), F.element_at(F.array(*[F.lit(NAMES[k].lower()) for k in sorted(NAMES)]), _kind(g)))
+
+
+_count_points = _on_geometry(lambda g: len(all_coords(g)), IntegerType())
+
+
+def st_numpoints(c: Column | str) -> Column:
+    """Number of points; that of a line follows from its size, only other kinds are parsed."""
+    g = _as_column(c)
+    is_line = _is_flat(g, LINE)
+    return F.when(is_line, ((F.length(g) - 9) / 16).cast("int")).otherwise(_count_points(F.when(~is_line, g)))
+
+
+def _flat(raw: list[bytes | None], head: bytes) -> np.ndarray:
+    return np.fromiter((b is not None and b[:5] == head for b in raw), bool, len(raw))
+
+
+def _ordinate(place: int) -> Callable[[Column | str], Column]:
+    @F.arrow_udf(DoubleType())
+    def run(c: pa.Array) -> pa.Array:
+        raw = c.to_pylist()
+        head = bytes([1, POINT, 0, 0, 0])
+        rows = np.flatnonzero(_flat(raw, head))
+        out = np.full(len(raw), np.nan)
+        out[rows] = np.frombuffer(b"".join([raw[k][5:21] for k in rows.tolist()]), "<f8").reshape(-1, 2)[:, place]
+        for k in np.setdiff1d(np.arange(len(raw)), rows).tolist():
+            if raw[k] is not None and (g := from_wkb(raw[k]))[0] == POINT and g[1]:
+                out[k] = g[1][place]
+        return pa.array(out, mask=np.fromiter((b is None for b in raw), bool, len(raw)))
+
+    return lambda c: run(_as_column(c))
+
+
+st_x, st_y = _ordinate(0), _ordinate(1)
+
+
+@F.arrow_udf(DoubleType())
+def _length(c: pa.Array) -> pa.Array:
+    raw = c.to_pylist()
+    rows = np.flatnonzero(_flat(raw, _LINE_HEAD))
+    out = np.zeros(len(raw))
+    if len(rows):
+        # All lines of the batch as one path, less the ways from each to the next.
+        n = np.array([(len(raw[k]) - 9) // 16 for k in rows.tolist()])
+        xy = np.frombuffer(b"".join([raw[k][9:] for k in rows.tolist()]), "<f8").reshape(-1, 2)
+        steps = np.hypot(*np.diff(xy, axis=0, append=np.zeros((1, 2))).T)
+        own = np.repeat(np.arange(len(n)), n)
+        last = np.cumsum(n)[n > 0] - 1
+        steps[last] = 0.0
+        out[rows] = np.bincount(own, steps, len(n))
+    for k in np.setdiff1d(np.arange(len(raw)), rows).tolist():
+        if raw[k] is not None:
+            out[k] = planar.length(from_wkb(raw[k]))
+    return pa.array(out, mask=np.fromiter((b is None for b in raw), bool, len(raw)))
+
+
+def st_length(c: Column | str) -> Column:
+    """Length of lines and of polygons' rings."""
+    return _length(_as_column(c))
 
 
 st_astext = _on_geometry(to_wkt, StringType())
@@ -136,12 +232,25 @@ def st_geomfromwkb(s: pd.Series) -> pd.Series:
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to SQL."""
-    unary = {"st_area": (planar.area, "double"), "st_length": (planar.length, "double"), "st_isvalid": (planar.is_valid, "boolean"), "st_astext": (to_wkt, "string"), "st_numpoints": (lambda g: len(all_coords(g)), "int"), "st_envelope": (_envelope, "binary"), "st_centroid": (lambda g: to_wkb((POINT, planar.centroid(g))), "binary"), "st_x": (lambda g: g[1][0] if g[1] else None, "double"), "st_y": (lambda g: g[1][1] if g[1] else None, "double")}
+    unary = {
+        "st_area": (planar.area, "double"), "st_isvalid": (planar.is_valid, "boolean"), "st_isempty": (is_empty, "boolean"), "st_astext": (to_wkt, "string"),
+        "st_asgeojson": (lambda g: json.dumps(to_geojson(g)), "string"), "st_numpoints": (lambda g: len(all_coords(g)), "int"),
+        "st_envelope": (_envelope, "binary"), "st_centroid": (lambda g: to_wkb((POINT, planar.centroid(g))), "binary"),
+        "st_x": (lambda g: g[1][0] if g[0] == POINT and g[1] else None, "double"), "st_y": (lambda g: g[1][1] if g[0] == POINT and g[1] else None, "double"),
+        "st_geometrytype": (lambda g: NAMES[g[0]].lower(), "string"),
+    }
     for name, (f, returns) in unary.items():
         spark.udf.register(name, F.pandas_udf(_series(f), returns))
-    for name, f in {"st_contains": _contains, "st_intersects": lambda g, o: None if o is None else planar.intersects(g, from_wkb(o))}.items():
-        spark.udf.register(name, F.pandas_udf(_series2(f), "boolean"))
+    binary = {
+        "st_contains": (_contains, "boolean"), "st_intersects": (lambda g, o: None if o is None else planar.intersects(g, from_wkb(o)), "boolean"),
+        "st_simplify": (lambda g, t: to_wkb(planar.simplify(g, float(t))), "binary"),
+    }
+    for name, (f, returns) in binary.items():
+        spark.udf.register(name, F.pandas_udf(_series2(f), returns))
+    spark.udf.register("st_reproject", F.pandas_udf(_series3(lambda g, a, b: to_wkb(planar.reproject(g, a, b))), "binary"))
+    spark.udf.register("st_length", _length)
     spark.udf.register("st_geomfromtext", st_geomfromtext)
+    spark.udf.register("st_geomfromwkb", st_geomfromwkb)
     spark.udf.register("st_makepoint", _make_point)
 
 
@@ -157,3 +266,10 @@ def _series2(f):
         return pd.Series([None if g is None else f(from_wkb(g), x) for g, x in zip(s, o)], dtype=object)
 
     return run
+
+
+def _series3(f):
+    def run(s: pd.Series, o: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([None if g is None else f(from_wkb(g), x, y) for g, x, y in zip(s, o, p)], dtype=object)
+
+    return run

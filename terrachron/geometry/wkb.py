@@ -40,7 +40,13 @@ def to_wkb(g: Geometry | None) -> bytes | None:
 
 def from_wkb(b: bytes | None) -> Geometry | None:
     """WKB of either byte order, 2-D (further ordinates of ISO or EWKB forms are dropped)."""
-    return _read(bytes(b), 0)[0] if b is not None else None
+    if b is None:
+        return None
+    b = bytes(b)
+    if len(b) == 21 and b[:5] == b"\x01\x01\0\0\0":  # most rows are plain points
+        x, y = struct.unpack_from("<dd", b, 5)
+        return POINT, None if x != x and y != y else (x, y)
+    return _read(b, 0)[0]
 
 
 def _read(b: bytes, at: int) -> tuple[Geometry, int]:

@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files that a query writes and reads again, below ``spark.checkpoint.dir``.
+
+    Only where that is unset and all executors are in this process, a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.TemporaryDirectory(prefix="scratch-"))
+            atexit.register(_OWN[0].cleanup)
+        base = _OWN[0].name
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

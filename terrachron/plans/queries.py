@@ -605,4 +605,5 @@ def snapshot_tiles(spark: SparkSession, d: str) -> DataFrame:
     return flagship(spark, d)
 
 
-
+# They register further queries here.
+from . import geometry_queries  # noqa: E402, F401

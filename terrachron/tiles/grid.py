@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,14 +69,43 @@ def keys_of(wkb: bytes | None, level: TileLevel) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+_POINT_HEAD = b"\x01\x01\0\0\0"
+
+
+def _batch_keys(raw: list[bytes | None], level: TileLevel) -> pa.Array:
+    """Tiles of each geometry; plain points, each in one tile, are placed for the whole batch at once."""
+    flat = np.fromiter((b is not None and b[:5] == _POINT_HEAD for b in raw), bool, len(raw))
+    rows = np.flatnonzero(flat)
+    xy = np.frombuffer(b"".join([raw[k][5:21] for k in rows.tolist()]), "<f8").reshape(-1, 2)
+    placed = ~np.isnan(xy).all(axis=1)
+    rows, xy = rows[placed], xy[placed]
+    x0, y0, x1, y1 = level.extent
+    with np.errstate(invalid="ignore"):
+        at = np.stack([(xy[:, 0] - x0) / (x1 - x0) * level.cols, (y1 - xy[:, 1]) / (y1 - y0) * level.rows], axis=1)
+        at = np.clip(np.floor(at), 0, (level.cols - 1, level.rows - 1)).astype(np.int64)
+    others = {k: keys_of(raw[k], level) for k in np.flatnonzero(~flat).tolist() if raw[k] is not None}
+    n = np.zeros(len(raw) + 1, np.int64)
+    n[rows + 1] = 1
+    for k, keys in others.items():
+        n[k + 1] = len(keys)
+    first = np.cumsum(n)
+    out = np.zeros((int(first[-1]), 2), np.int64)
+    out[first[rows]] = at
+    for k, keys in others.items():
+        if keys:
+            out[first[k] : first[k] + len(keys)] = keys
+    cols = [pa.array(out[:, k].astype(np.int32)) for k in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(cols, names=["col", "row"]))
+
+
 def key_to(level: TileLevel):
     """A UDF from WKB to the tiles that it meets."""
 
-    @F.pandas_udf(KEYS)
-    def run(wkb: pd.Series) -> pd.Series:
-        return pd.Series([[{"col": c, "row": r} for c, r in keys_of(g, level)] for g in wkb], dtype=object)
+    @F.arrow_udf(KEYS)
+    def run(wkb: pa.Array) -> pa.Array:
+        return _batch_keys(wkb.to_pylist(), level)
 
-    return run
+    return lambda c: run(F.col(c) if isinstance(c, str) else c)
 
 
 def point_key(x: Column, y: Column, level: TileLevel) -> Column:

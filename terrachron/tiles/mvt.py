@@ -46,6 +46,22 @@ def _value(v: object) -> bytes:
     return _field(1, str(v).encode())
 
 
+def _point_bodies(points: list, box: tuple[float, float, float, float], extent: int) -> list[bytes]:
+    """Type and geometry fields of single points."""
+    x0, y0, x1, y1 = box
+    c = coords(points)
+    q = np.stack([(c[:, 0] - x0) / (x1 - x0), (y1 - c[:, 1]) / (y1 - y0)], axis=1) * extent
+    q = np.floor(q + 0.5).astype(np.int64)
+    zigzag = (q << 1) ^ (q >> 63)
+    known: dict[tuple[int, int], bytes] = {}
+    out = []
+    for at in map(tuple, zigzag.tolist()):
+        if at not in known:
+            known[at] = b"\x18\x01" + _field(4, b"\x09" + _varint(at[0]) + _varint(at[1]))
+        out.append(known[at])
+    return out
+
+
 def _commands(g: Geometry, box: tuple[float, float, float, float], extent: int) -> list[int]:
     x0, y0, x1, y1 = box
     at = np.zeros(2, int)
@@ -98,16 +114,22 @@ def _commands(g: Geometry, box: tuple[float, float, float, float], extent: int)
 def layer(name: str, features: Iterable[Feature], box: tuple[float, float, float, float], extent: int, order_areas: bool = False) -> bytes:
     """A layer of features by kind; polygons by falling area if ``order_areas``. Empty geometries are left out."""
     some = [(g, a) for g, a in features if g is not None and not is_empty(g)]
-    flat = [(p, a) for g, a in some for p in (g[1] if g[0] == COLLECTION else [g])]
+    flat = [(p, a) for g, a in some for p in (g[1] if g[0] == COLLECTION else [g]) if not is_empty(p)]
     flat.sort(key=lambda f: (ORDER[f[0][0]], -area(f[0]) if order_areas and f[0][0] in (POLYGON, MULTIPOLYGON) else 0))
     keys: dict[str, int] = {}
     values: dict[tuple, int] = {}
     blobs: list[bytes] = []
     made = []
+    bodies = iter(_point_bodies([g[1] for g, _ in flat if g[0] == POINT], box, extent))
+    told: dict[tuple[int, ...], bytes] = {}
     for g, attributes in flat:
-        commands = _commands(g, box, extent)
-        if not commands:
-            continue
+        if g[0] == POINT:
+            shape = next(bodies)
+        else:
+            commands = _commands(g, box, extent)
+            if not commands:
+                continue
+            shape = _varint(3 << 3) + _varint(_TYPE[g[0]]) + _field(4, b"".join(map(_varint, commands)))
         tags: list[int] = []
         for k, v in attributes.items():
             if v is None:
@@ -117,9 +139,10 @@ def layer(name: str, features: Iterable[Feature], box: tuple[float, float, float
                 values[at] = len(values)
                 blobs.append(_value(v))
             tags += [keys.setdefault(k, len(keys)), values[at]]
-        body = _field(2, b"".join(map(_varint, tags))) if tags else b""
-        body += _varint(3 << 3) + _varint(_TYPE[g[0]]) + _field(4, b"".join(map(_varint, commands)))
-        made.append(_field(2, body))
+        said = tuple(tags)
+        if said not in told:
+            told[said] = _field(2, b"".join(map(_varint, tags))) if tags else b""
+        made.append(_field(2, told[said] + shape))
     out = _varint(15 << 3) + _varint(2) + _field(1, name.encode()) + b"".join(made)
     out += b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, b) for b in blobs)
     return out + _varint(5 << 3) + _varint(extent)
