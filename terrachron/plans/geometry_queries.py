@@ -13,22 +13,19 @@ from pyspark.sql import functions as F
 
 from ..geometry import udfs
 from ..operators import geocode, history
+from ..osm import to_geometry
 from ..schema import ELEMENT_DDL, schema_of
 from ..sources.elements import read_history, read_osm_xml
 from ..tiles import export, grid
 from ..tiles.pipeline import LayerNamesInColumn, Options, Pipeline, SimplifyToCell, level_tiles
 from . import derive
 from .derive import NODES_SQL, scratch, table
-from .queries import _decoded, query, real
+from .registry import decoded, query, real
+from .registry import text_of as _text
 
 AT = "timestamp '2020-01-01 00:00:00'"
 
 
-def _text(*parts: object) -> Column:
-    """Columns and strings, joined."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 def _geoms(rows: DataFrame, *ways: tuple[int, Column, Column]) -> DataFrame:
     """Way geometries of each row of ``rows`` (key): (number of the way, WKT, whether there is one)."""
     parts = F.array(*[F.struct((F.col("key") * 10 + n).alias("id"), F.when(some, text).alias("text")) for n, text, some in ways])
@@ -144,6 +141,48 @@ def way_shapes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _with_relations(spark: SparkSession, d: str) -> DataFrame:
+    """The shapes, with a tag on each first corner and a multipolygon of each way that isn't a bow-tie."""
+    key = F.col("p_partkey")
+    part = table(spark, d, "part").select(key.alias("key"))
+    elements = _shapes(spark, d)
+    first = (F.col("type") == "node") & (F.col("id") % 10 == 1)
+    elements = elements.withColumn("tags", F.when(first, F.create_map(F.lit("amenity"), F.lit("cafe"))).otherwise(F.col("tags")))
+    key = F.col("key")
+    none = {f.name: F.lit(None) for f in schema_of(ELEMENT_DDL)}
+    cols = none | {
+        "id": key, "type": F.lit("relation"), "tags": F.create_map(F.lit("type"), F.when(key % 3 == 0, "site").otherwise("multipolygon")),
+        "members": F.array(F.struct(F.lit("way").alias("type"), key.alias("ref"), F.lit("outer").alias("role"))), "changeset": key + 200_000_000,
+        "timestamp": F.expr("timestamp '2020-02-15 00:00:00'"), "uid": F.lit(1), "user": F.lit("u"), "version": F.lit(1), "visible": F.lit(True),
+    }
+    return elements.unionByName(part.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in schema_of(ELEMENT_DDL)]))
+
+
+@query("""WITH s AS (SELECT p_partkey AS key, p_partkey % 3 = 0 AS bow, p_partkey % 7 = 0 OR p_partkey % 5 = 0 AS line, p_partkey % 2 = 0 AS moved FROM part)
+SELECT key AS id, key + 200000000 AS changeset, 0 AS minor_version, NOT (moved AND (line OR NOT bow)) AS last FROM s
+UNION ALL SELECT key, key + 100000000, 1, true FROM s WHERE moved AND (line OR NOT bow)""")
+def relation_moves(spark: SparkSession, d: str) -> DataFrame:
+    """Changesets that touched a relation: its own, and those that changed a member's shape. A way that stays invalid doesn't change."""
+    elements = _with_relations(spark, d)
+    ways = history.reconstruct_way_geometries(elements, elements)
+    df = history.relation_timeline(history.preprocess_relations(elements), ways)
+    return df.select("id", "changeset", F.col("minorVersion").alias("minor_version"), F.col("validUntil").isNull().alias("last"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS key, p_partkey % 3 = 0 AS bow, p_partkey % 7 = 0 OR p_partkey % 5 = 0 AS line, p_partkey % 7 = 0 AS open, p_partkey % 2 = 0 AS moved FROM part),
+v AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE moved),
+g AS (SELECT 1 AS type, key AS changeset, key * 10 + 1 AS id, 'point' AS kind, true AS last FROM s
+UNION ALL SELECT 2, CASE WHEN n = 1 THEN key + 100000000 ELSE key END, key, CASE WHEN line THEN 'linestring' WHEN bow THEN NULL ELSE 'polygon' END, n = 1 OR NOT moved
+  FROM s, (VALUES (0), (1)) AS t(n) WHERE n = 0 OR moved
+UNION ALL SELECT 3, CASE WHEN n = 1 THEN key + 100000000 ELSE key + 200000000 END, key, CASE WHEN open THEN NULL ELSE 'polygon' END, n = 1 OR NOT moved
+  FROM s, (VALUES (0), (1)) AS t(n) WHERE NOT bow AND (n = 0 OR moved))
+SELECT type::INTEGER AS type, changeset, id, kind, last FROM g""")
+def history_geometries(spark: SparkSession, d: str) -> DataFrame:
+    """Points, ways and multipolygons of one history, in one table."""
+    df = to_geometry(_with_relations(spark, d), persist=False)
+    return df.select(F.col("_type").cast("int").alias("type"), "changeset", "id", udfs.st_geometrytype("geom").alias("kind"), F.col("validUntil").isNull().alias("last"))
+
+
 def _ring(*points: tuple[float, float]) -> list[list[float]]:
     return [list(p) for p in (*points, points[0])]
 
@@ -201,7 +240,7 @@ def line_tiles(spark: SparkSession, d: str) -> DataFrame:
     short = _text("LINESTRING (", x(i), " ", y, ", ", x(i) + w / 4, " ", y, ")")
     layer = F.when(k % 2 == 0, "even").otherwise("odd")
     df = table(spark, d, "customer").select(k.alias("id"), layer.alias("layer"), udfs.st_geomfromtext(F.when(i == 255, short).otherwise(text)).alias("geom"))
-    return _decoded(level_tiles(df.withColumn("_keys", grid.key_to(level)("geom")), _Lines(), level, "_keys", Options((level,), tile_extent=4096)))
+    return decoded(level_tiles(df.withColumn("_keys", grid.key_to(level)("geom")), _Lines(), level, "_keys", Options((level,), tile_extent=4096)))
 
 
 class _Marks(Pipeline):
@@ -221,7 +260,7 @@ def tiles_saved(spark: SparkSession, d: str) -> DataFrame:
     export.save_tiles(level_tiles(df.withColumn("_keys", grid.key_to(level)("geom")), _Marks(), level, "_keys", Options((level,))), base)
     part = lambda n: F.regexp_extract("path", r"/(\d+)/(\d+)/(\d+)\.mvt$", n).cast("int")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mvt").load(base)
-    return _decoded(files.select(part(1).alias("zoom"), part(2).alias("col"), part(3).alias("row"), F.col("content").alias("mvt")))
+    return decoded(files.select(part(1).alias("zoom"), part(2).alias("col"), part(3).alias("row"), F.col("content").alias("mvt")))
 
 
 @query("""WITH s AS (SELECT p_partkey AS id, p_size AS a, 1 + p_partkey % 9 AS b FROM part)

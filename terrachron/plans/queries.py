@@ -18,35 +18,9 @@ from ..osm import add_user_metadata, snapshot, to_geometry
 from ..tiles import grid
 from ..tiles.pipeline import LayerNamesInColumn, Options, Pipeline, SimplifyToCell, SingleLayer, level_tiles
 from . import derive
+from .registry import QUERIES, SQL, Query, decoded, query, real, real_sql
 from .derive import NODES_SQL, RELATIONS_SQL, TIMELINE_SQL, VERTICES_SQL, WAYS_SQL, table, tags_text, time_sql, time_text
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def real(c: str | Column, digits: int = 6) -> Column:
-    """Rounded; NaN as null, and no negative zero."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(~F.isnan(c), F.round(c, digits) + F.lit(0.0))
-
-
-def real_sql(c: str, digits: int = 6) -> str:
-    return f"CASE WHEN NOT isnan({c}) THEN round({c}, {digits}) + 0.0 END"
-
-
 # --------------------------------------------------------------------------- histories
 
 
@@ -477,19 +451,6 @@ def tile_bin_reduce(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("k.col", "k.row").agg(total.alias("weight"), mean("x"), mean("y"))
 
 
-def _decoded(tiles: DataFrame) -> DataFrame:
-    """Layers and their numbers of features, read back from the tiles."""
-    from ..tiles import mvt
-
-    @F.pandas_udf("array<struct<layer:string,n:int>>")
-    def layers(s):
-        import pandas as pd
-
-        return pd.Series([[{"layer": k, "n": len(v["features"])} for k, v in mvt.read(bytes(b)).items()] for b in s], dtype=object)
-
-    return tiles.select("zoom", "col", "row", F.explode(layers("mvt")).alias("l")).select("zoom", "col", "row", "l.layer", "l.n")
-
-
 def _tiles(spark: SparkSession, d: str, p: Pipeline, zoom: int, extra: Column) -> DataFrame:
     df = _placed(spark, d).select(udfs.st_makepoint("x", "y").alias("geom"), "version", extra.alias("layer"))
     level = grid.zoomed(zoom)
@@ -507,12 +468,12 @@ class _Layers(Pipeline):
 
 @query(f"WITH {_MERCATOR_SQL}, k AS (SELECT {_key_sql(4)} FROM g) SELECT 4 AS zoom, col, row, 'points' AS layer, count(*)::INTEGER AS n FROM k GROUP BY col, row")
 def tile_feature_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _decoded(_tiles(spark, d, _Points(), 4, F.lit("")))
+    return decoded(_tiles(spark, d, _Points(), 4, F.lit("")))
 
 
 @query(f"WITH {_MERCATOR_SQL}, k AS (SELECT 'l' || (id % 3) AS layer, {_key_sql(3)} FROM g) SELECT 3 AS zoom, col, row, layer, count(*)::INTEGER AS n FROM k GROUP BY col, row, layer")
 def tile_layers(spark: SparkSession, d: str) -> DataFrame:
-    return _decoded(_tiles(spark, d, _Layers(), 3, F.concat(F.lit("l"), F.col("id") % 3)))
+    return decoded(_tiles(spark, d, _Layers(), 3, F.concat(F.lit("l"), F.col("id") % 3)))
 
 
 def _box(x0: float, y0: float, x1: float, y1: float) -> tuple:
@@ -581,7 +542,7 @@ def way_tiles(spark: SparkSession, d: str) -> DataFrame:
 
     level = grid.zoomed(3)
     df = _mercator_ways(spark, d).withColumn("_keys", grid.key_to(level)("geom"))
-    return _decoded(level_tiles(df, Ways(), level, "_keys", Options((level,), tile_extent=4096)))
+    return decoded(level_tiles(df, Ways(), level, "_keys", Options((level,), tile_extent=4096)))
 
 
 @query()
@@ -605,5 +566,5 @@ def snapshot_tiles(spark: SparkSession, d: str) -> DataFrame:
     return flagship(spark, d)
 
 
-# They register further queries here.
-from . import geometry_queries  # noqa: E402, F401
+# They register further queries.
+from . import feed_queries, geometry_queries  # noqa: E402, F401

@@ -10,6 +10,9 @@ import logging
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..functions.time import EPOCH
 from ..geometry.geojson import read_feature
 from ..geometry.wkb import to_wkb
@@ -128,6 +131,13 @@ def element_id(code: int, number: int) -> str:
     return {1: "n", 2: "w", 3: "r"}.get(code, "") + str(number)
 
 
+def element_id_column(code: Column | str, number: Column | str) -> Column:
+    """The same of columns, by built-in expressions."""
+    code, number = (F.col(c) if isinstance(c, str) else c for c in (code, number))
+    letter = F.when(code == 1, "n").when(code == 2, "w").when(code == 3, "r").otherwise("")
+    return F.concat(letter, number.cast("string"))
+
+
 SUFFIX = {CHANGES: ".osc.gz", CHANGESETS: ".osm.gz", AUGMENTED_DIFFS: ".json.gz"}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import os
 import urllib.parse
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -21,11 +22,21 @@ def object_of(prefix: str, zoom: int, col: int, row: int, body: bytes, public: b
     return out | ({"ACL": "public-read"} if public else {})
 
 
-def save_tiles(tiles: DataFrame, base_uri: str, client: Callable[[], object] | None = None, public: bool = False) -> None:
-    """Write tiles (zoom, col, row, mvt) below a URI: ``s3://bucket/prefix`` gzipped, a local or mounted path raw.
+def _opened(base_uri: str) -> tuple[object, str]:
+    from pyarrow import fs
 
-    ``client`` makes the object store's client on each executor (put_object). A tile is
-    written under another name first and moved then, so that a retried task leaves whole files.
+    return fs.FileSystem.from_uri(base_uri)
+
+
+def save_tiles(
+    tiles: DataFrame, base_uri: str, client: Callable[[], object] | None = None, public: bool = False, opened: Callable[[str], tuple[object, str]] = _opened
+) -> None:
+    """Write tiles (zoom, col, row, mvt) below a URI: ``s3://bucket/prefix`` gzipped, any other file system raw.
+
+    ``client`` makes the object store's client on each executor (put_object). Other schemes
+    (hdfs, gs, abfs and what else Arrow knows) are opened by ``opened`` on each executor; a
+    plain path or ``file:`` must be a folder that all executors share. A tile is written
+    under another name first and moved then, so that a retried task leaves whole files.
     """
     uri = urllib.parse.urlparse(base_uri)
     if uri.scheme in ("s3", "s3a", "s3n"):
@@ -43,17 +54,21 @@ def save_tiles(tiles: DataFrame, base_uri: str, client: Callable[[], object] | N
 
         tiles.foreachPartition(put)
         return
-    if uri.scheme not in ("", "file"):
-        raise ValueError(f"no sink for {uri.scheme}://")
-    base = uri.path
+    target = base_uri if uri.scheme else f"file://{os.path.abspath(base_uri)}"
 
     def save(rows: Iterator[Row]) -> None:
+        store, base, known = None, "", set()
         for r in rows:
-            path = f"{base}/{r['zoom']}/{r['col']}/{r['row']}.mvt"
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            part = f"{path}.{os.getpid()}.part"
-            with open(part, "wb") as f:
+            if store is None:
+                store, base = opened(target)
+            folder = f"{base.rstrip('/')}/{r['zoom']}/{r['col']}"
+            if folder not in known:
+                store.create_dir(folder, recursive=True)
+                known.add(folder)
+            path = f"{folder}/{r['row']}.mvt"
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part) as f:
                 f.write(bytes(r["mvt"]))
-            os.replace(part, path)
+            store.move(part, path)
 
     tiles.foreachPartition(save)

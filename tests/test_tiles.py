@@ -76,3 +76,32 @@ def test_object_store():
     put = export.object_of("/a/b/", 3, 1, 2, b"tile")
     assert put["Key"] == "a/b/3/1/2.mvt" and gzip.decompress(put["Body"]) == b"tile" and "ACL" not in put
     assert export.object_of("", 3, 1, 2, b"", public=True)["ACL"] == "public-read"
+
+
+def test_tiles_on_another_file_system(spark, tmp_path):
+    from terrachron.tiles.export import save_tiles
+
+    where = str(tmp_path)
+
+    def opened(uri):
+        from pyarrow import fs
+
+        assert uri == "hdfs://name/tiles"
+        return fs.SubTreeFileSystem(where, fs.LocalFileSystem()), "tiles"
+
+    tiles = spark.createDataFrame([(3, 1, 2, b"a"), (3, 1, 4, b"b"), (3, 7, 0, b"c")], "zoom int, col int, row int, mvt binary")
+    for _ in range(2):  # writing again replaces
+        save_tiles(tiles, "hdfs://name/tiles", opened=opened)
+    found = {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+    assert found == {"tiles/3/1/2.mvt": b"a", "tiles/3/1/4.mvt": b"b", "tiles/3/7/0.mvt": b"c"}
+
+
+def test_mixed_geometries_get_their_tiles():
+    from terrachron.geometry.wkb import POINT, from_wkt, to_wkb
+    from terrachron.tiles import grid
+
+    level = grid.zoomed(5)
+    raw = [to_wkb(from_wkt(t)) for t in ("POINT (1e6 2e6)", "LINESTRING (0 0, 5e6 3e6)", "POINT (-3e7 3e7)", "MULTIPOINT (0 0, 4e6 4e6)")]
+    raw += [None, to_wkb((POINT, None)), to_wkb((POINT, (5.0, float("nan"))))][:2]
+    got = [[(k["col"], k["row"]) for k in keys] for keys in grid._batch_keys(raw, level).to_pylist()]
+    assert got == [grid.keys_of(g, level) for g in raw]
