@@ -34,12 +34,16 @@ def _folding() -> np.ndarray:
 
 
 def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Folded code points of all texts, with a space before each text, and where each begins."""
-    joined = " ".join(["", *texts.to_pylist()])
+    """Folded code points of all texts, with spaces before each text, and where each begins.
+
+    There are so many spaces that no n-gram reaches from one text into the next.
+    """
+    gap = " " * (max(ORDERS) - 1)
+    joined = gap.join(["", *texts.to_pylist()])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     size = pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     at = np.zeros(len(size) + 1, np.int64)
-    np.cumsum(size + 1, out=at[1:])
+    np.cumsum(size + len(gap), out=at[1:])
     return _folding()[np.minimum(points, 0x10FFFF)], at
 
 
@@ -67,7 +71,9 @@ def train(
     """Languages (sorted) and log-probabilities [language, bucket].
 
     Rows with a null text or language are left out. At most about ``max_docs`` labelled
-    rows, chosen by a hash of the id, are counted. Priors are equal.
+    rows, chosen by a hash of the id, are counted, each whole. Counted are the n-grams that
+    begin at a letter. Priors are equal; repeated rows count again; from an empty table no
+    language is learned.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = sampled(rows, id_col, max_docs).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -76,12 +82,14 @@ def train(
         sums: dict[str, np.ndarray] = {}
         for b in by_bytes(batches, 4 << 20):
             points, at = folded(b.column(1))
+            letters = points != 32
             langs = b.column(0).to_pylist()
             for h in buckets(points, bits):
                 for k, lang in enumerate(langs):
                     if lang not in sums:
                         sums[lang] = np.zeros(1 << bits, np.int64)
-                    part = h[at[k] : at[k + 1]]
+                    # n-grams that begin at a letter, as in scoring
+                    part = h[at[k] : at[k + 1]][letters[at[k] : at[k + 1]]]
                     if len(part) > 1 << 12:
                         sums[lang] += np.bincount(part, minlength=1 << bits)
                     else:
@@ -117,8 +125,9 @@ def identify(
     The score is the posterior of the language, from the mean log-probability of an n-gram
     times the square root of their number, so that long texts don't saturate at once. A null
     text and one without a letter are ``und`` with score 0, as all are if no language was
-    learned. Equal scores go to the language that sorts first. Repeated rows are each
-    answered; other columns are ignored. One scan, no shuffle.
+    learned. Equal scores go to the language that sorts first. Texts are read whole, however
+    long; repeated rows are each answered; other columns are ignored; an empty table gives no
+    rows. One scan, no shuffle.
     """
     shared: Broadcast = docs.sparkSession.sparkContext.broadcast((langs, table))
 
