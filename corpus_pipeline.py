@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a
 DataFrame, which is written as Parquet and read again as the next one's docs. All but the
-last return the columns of documents.
+last return the columns of documents. Null and empty texts go through all stages as empty
+ones (a null stays null), texts are read whole, rows that repeat id and text are copies of
+each other, further columns ride along, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from terrachron.llm import decontam, neardup, packing, queries, secrets, toxicity
-from terrachron.llm.common import shared_dir
+from terrachron.llm.common import drop_path, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +59,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``; tables in between go to the session's shared folder."""
-    base = shared_dir(spark)
+    base, before = shared_dir(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{base}/{name}-{uuid.uuid4().hex[:8]}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            drop_path(spark, before)  # the next stage has read it
+        before = path
     return docs

@@ -389,7 +389,8 @@ def extract(
     keep: list[str] = []
     nodes = importances(rows, least_pages, batch_bytes=batch_bytes, keep=keep)
     listed = F.sort_array(F.collect_list(F.struct("path", F.col("importance").cast("float").alias("importance"), F.col("pages").cast("float").alias("pages")))).alias("low")
-    low = written(nodes.groupBy("host").agg(listed))
+    kept: list[str] = []
+    low = written(nodes.groupBy("host").agg(listed), kept)
     for path in keep:
         drop_path(spark, path)
     size = low.agg(F.sum(F.size("low") * 20 + F.octet_length("host") + 200)).first()[0] or 0
@@ -410,6 +411,7 @@ def extract(
         for host, x in zip(got["host"].to_pylist(), got["low"]):
             tables[host] = tuple(x.values.field(j).to_numpy(zero_copy_only=False) for j in range(3))
         shared = spark.sparkContext.broadcast(tables)
+        drop_path(spark, kept[0])
 
         def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = lambda b, k, host: {p: (i, m) for p, i, m in zip(*(x.tolist() for x in shared.value[host]))} if host in shared.value else {}

@@ -375,8 +375,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     Exact copies share a class and are signed once; repeated rows are copies. Null or empty
     texts stand alone (rows of one id with such texts are copies of each other). Texts
-    without words are joined to exact copies only. Ties go to the lesser key. Other columns
-    are ignored. Exact copies shrink before each shuffle; all pairs that share a band are
+    without words are joined to exact copies only. Texts are signed whole, however long; an
+    empty table gives no rows. Ties go to the lesser key. Other columns are ignored. Exact copies shrink before each shuffle; all pairs that share a band are
     compared, but not listed. Tables in between are written to the shared folder.
     """
     spark = docs.sparkSession
@@ -410,7 +410,8 @@ def deduplicate(docs: DataFrame, threshold: float = 0.45, broadcast_rows: int =
 
     Needs the columns doc_id and text. The rows to drop are broadcast if there are at most
     ``broadcast_rows``, which is counted; else the documents are joined to the rows that
-    stay by a shuffle. Of rows that repeat id and text, one stays.
+    stay by a shuffle. Of rows that repeat id and text, one stays. Null and empty texts stay
+    (one for each id), null ids are an id of their own; an empty table stays empty.
     """
     found = classes(docs, threshold=threshold)
     best = found.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("best"))

@@ -250,7 +250,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns doc_id, kinds, starts and ends, by start, then kind. A null or empty text has
     no spans; repeated rows are each answered; other columns are ignored. Texts are read
-    whole, however long. One scan, no shuffle.
+    whole, however long. An empty table gives no rows. One scan, no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,8 +98,9 @@ def count_tokens(
 
     ``path`` names a ``.model`` (sentencepiece) or ``.json`` (tokenizers) file that every
     worker can read. A null or empty text has no bytes and no tokens; repeated rows are
-    each answered; other columns are ignored. Batches hold about ``batch_bytes`` of text,
-    or one text. One scan, no shuffle.
+    each answered; other columns are ignored; an empty table gives no rows. Texts are counted
+    whole, however long. Batches hold about ``batch_bytes`` of text, or one text. One scan, no
+    shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

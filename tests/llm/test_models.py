@@ -336,6 +336,31 @@ def test_language_of_odd_texts(spark, docs_of):
     assert langid.identify(docs_of([]), langs, table).count() == 0
 
 
+def test_language_against_brute_force(spark, docs_of):
+    import math
+
+    rng = random.Random(3)
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(1, 6)))
+    texts = [(k, " ".join(word("abcdÉ" if k % 2 else "xyzdä") for _ in range(30)) + "! 12", "en" if k % 2 else "de") for k in range(20)]
+    langs, table = langid.train(spark.createDataFrame(texts, "doc_id long, text string, lang string"), bits=12)
+
+    def grams(t):
+        low = [c.lower() if c.isalpha() else " " for c in "  " + t]
+        points = np.array([*map(ord, low)], np.uint32)
+        return [int(h[k]) for h in langid.buckets(points, 12) for k in range(len(low)) if low[k] != " "]
+
+    counts = {lang: Counter(g for _, t, own in texts if own == lang for g in grams(t)) for lang in langs}
+    logs = {lang: [math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * 4096)) for g in range(4096)] for lang, c in counts.items()}
+    assert np.allclose(table, [logs[lang] for lang in langs], atol=1e-5)
+    asked = [(k, " ".join(word("abcdÉxyzä") for _ in range(rng.randint(1, 9)))) for k in range(30)]
+    got = {r.doc_id: r for r in langid.identify(docs_of(asked), langs, table).collect()}
+    for k, t in asked:
+        n = sum(c.isalpha() for c in t)
+        x = {lang: sum(logs[lang][g] for g in grams(t)) / math.sqrt(n) / 2 for lang in langs}
+        best = max(langs, key=x.get)
+        assert got[k].lang_pred == best and abs(got[k].score - 1 / sum(math.exp(v - x[best]) for v in x.values())) < 1e-3
+
+
 def test_scores_equal_row_by_row():
     import pyarrow as pa
 
@@ -343,7 +368,7 @@ def test_scores_equal_row_by_row():
     points, at = langid.folded(texts)
     for k, t in enumerate(texts.to_pylist()):
         alone, _ = langid.folded(pa.array([t]))
-        assert (points[at[k] : at[k + 1]] == alone).all() and len(alone) == len(t) + 1
+        assert (points[at[k] : at[k + 1]] == alone).all() and len(alone) == len(t) + 2
 
 
 # --------------------------------------------------------------------------- pages
@@ -421,6 +446,23 @@ def test_style_tree_judges_small_sites(spark):
 # --------------------------------------------------------------------------- pipeline
 
 
+def test_pipeline_stages_on_odd_documents(spark, tmp_path, docs_of):
+    import corpus_pipeline
+
+    rows = [(1, "one two three four five"), (2, "one two three four five"), (2, "one two three four five"), (3, "password = hunter2hunter2"), *ODD]
+    for case, docs in (("odd", docs_of(rows)), ("none", docs_of([]))):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{case}-{name}")
+            stage(spark, docs, SF).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if name != "packing":
+                assert docs.columns == columns
+                if case == "odd":
+                    assert {901, 902, 903, 904, 905} <= {r.doc_id for r in docs.collect()} and docs.where("doc_id = 901").first().text is None
+        assert {r.doc_id for r in docs.collect()} == ({1, 3, 901, 902, 903, 904, 905} if case == "odd" else set())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from terrachron.llm import decontam, queries, secrets

@@ -245,6 +245,42 @@ def test_labelers_add_spans(spark, docs_of):
 # --------------------------------------------------------------------------- tokens
 
 
+def test_personal_data_row_by_row(spark, docs_of):
+    rng = random.Random(21)
+    made = ["call (212) 555-0182 now", "order 212-555-0182-77", "ssn 123-45-6789", "id 000-12-3456", "jo [at] mail [dot] com", "my name is Anna Schmidt", "Dr. Xyz",
+            "iban DE89 3704 0044 0532 0130 00", "part DE89 3704 0044 0532 0130 01", "x@y.org", "10.0.0.1", "3782 822463 10005", "0049 30 1234 5678", "v 1.2.3.4"]
+    rows = [(k, " ".join(rng.choice(made) for _ in range(rng.randint(0, 5)))) for k in range(120)]
+    model = pii.learn(docs_of(rows))
+    counted = pii.Counter()
+    for _, t in rows:
+        base = pii.base_spans(t)
+        for kind, a, e, strict in [*((*x, True) for x in base), *((*x, False) for x in pii.candidates(t, base, any(c.isdigit() for c in t)))]:
+            counted[kind, pii._votes(kind, t, a, e, strict), pii._features(kind, t[a:e])] += 1
+    again = pii.fit(counted)
+    assert np.allclose(model.weights, again.weights, atol=1e-6) and set(model.reliability) == {"regex", "checksum", "gazetteer", "context", "shape"}
+    got = {r.doc_id: list(zip(r.kinds, r.starts, r.ends, r.strict)) for r in pii.find_personal_data(docs_of(rows), model, batch_bytes=500).collect()}
+    for k, t in rows:
+        base = pii.base_spans(t)
+        want = [(*x, True) for x in base]
+        for kind, a, e in pii.candidates(t, base, any(c.isdigit() for c in t)):
+            if model.probability((kind, pii._votes(kind, t, a, e, False), pii._features(kind, t[a:e]))) >= 0.9:
+                want.append((kind, a, e, False))
+        assert got[k] == sorted(want, key=lambda x: (pii.KINDS.index(x[0]), x[1]))
+    assert pii.find_personal_data(docs_of([]), model).count() == 0
+    votes = lambda kind, t, s: pii._votes(kind, t, t.index(s), t.index(s) + len(s), False)[0]
+    assert votes("phone", "a (212) 555-0182", "(212) 555-0182") == 1 and votes("ssn", "7.123-45-6789", "123-45-6789") == -1
+
+
+def test_expectation_maximisation_by_rows():
+    rng = random.Random(5)
+    patterns = [("phone", tuple(rng.choice([-1, 0, 1]) for _ in range(5)), (k, 0, 0)) for k in range(6)]
+    counts = np.array([rng.randint(1, 9) for _ in patterns], float)
+    post, right = pii._expectation_maximisation(patterns, counts)
+    rows = [p for p, n in zip(patterns, counts) for _ in range(int(n))]
+    by_row, same = pii._expectation_maximisation(rows, np.ones(len(rows)))
+    assert np.allclose(np.repeat(post, counts.astype(int)), by_row, atol=1e-6) and all(abs(right[k] - same[k]) < 1e-6 for k in right)
+
+
 def odd_texts():
     rng = random.Random(4)
     parts = [" ", "\n", "\t", "\r", "ab", "é", "'s", "'ll", "1²½ª", "<|endoftext|>", "<s>", "▁", "'", ".", "\x85", "\xa0", "\x1c", "　", "😀", "ß", "  ", "Ǆ", "\xad", "１", "ﬁ", "−", ", "]
