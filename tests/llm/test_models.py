@@ -418,6 +418,33 @@ def test_deep_and_long_pages():
     assert html.main_text(f"<article><p>{'word ' * 300_000}</p></article>") == ("word " * 300_000).strip()
 
 
+def test_importances_against_brute_force(spark):
+    import math
+
+    rng = random.Random(17)
+    part = lambda: f"<div class={rng.choice('ab')}>{rng.choice(['x', 'y', 'z'])}</div>"
+    rows = [(k, f"http://h{k % 3}.example/{k}", "".join(part() for _ in range(rng.randint(0, 4))) + "<p>same</p>" * (k % 4 > 0)) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.host, r.path): (r.importance, r.pages) for r in html.importances(df.withColumn("host", html.host_of(F.col("url"))), most=2.0).collect()}
+    want = {}
+    for host in {u.split("/")[2] for _, u, _ in rows}:
+        counts = defaultdict(Counter)
+        for page in {h for _, u, h in rows if u.split("/")[2] == host}:
+            for path, kind, feature in html.features(page):
+                counts[path, kind][feature] += 1
+        for path, kind in counts:
+            if kind == "c":
+                both = []
+                for k in "pc":
+                    c, m = counts[path, k], sum(counts[path, k].values())
+                    entropy = -sum(n / m * math.log(n / m) for n in c.values()) + (len(c) - 1) / (2 * m)
+                    both.append(min(1.0, entropy / math.log(m)) if m > 1 else 1.0)
+                pages = max(sum(counts[path, k].values()) for k in "pc")
+                if pages >= 2:
+                    want[host, path] = (max(both), pages)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want) and len(want) > 6
+
+
 def test_style_tree_inside_articles(spark):
     rows = [(k, f"http://h.example/{k}", f"<article><p>Own {k}</p><div class=x>Same</div><div class=legal>Terms</div></article>") for k in range(12)]
     rows += [(100 + k, f"http://two.example/{k}", f"<article><p>Own {k}</p><div class=x>Same</div></article>") for k in range(2)]
