@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..geometry.geojson import read_collection
 from ..geometry.planar import intersects
+from ..geometry.udfs import st_intersects
 from ..geometry.wkb import MULTIPOLYGON, POLYGON, Geometry, all_coords, from_wkb, is_empty, to_wkb
+from ..tiles.grid import key_to, zoomed
 
 MAX_BYTES = 256 << 20
 
@@ -25,15 +27,34 @@ def read_countries(text: str | bytes, code: str = "ADM0_A3") -> list[tuple[str,
     return out
 
 
-def geocode(geoms: DataFrame, countries: list[tuple[str, Geometry]], geometry_column: str = "geom") -> DataFrame:
+def _by_tiles(geoms: DataFrame, countries: list[tuple[str, Geometry]], geometry_column: str, zoom: int = 6) -> DataFrame:
+    """The same by a join on tiles of longitudes and latitudes, then the exact test: no task holds all polygons.
+
+    A geometry and a polygon that meet do so in some tile. All columns ride along, so that
+    rows need no key of their own.
+    """
+    key = key_to(zoomed(zoom, "EPSG:4326"))
+    parts = [(c, bytearray(to_wkb(p))) for c, g in countries for p in g[1]]
+    shapes = geoms.sparkSession.createDataFrame(parts, "code string, shape binary")
+    shapes = shapes.select("code", "shape", F.explode(key("shape")).alias("k")).select("code", "shape", F.col("k.col").alias("c"), F.col("k.row").alias("r"))
+    rows = geoms.select(F.monotonically_increasing_id().alias("n"), F.struct("*").alias("all"), F.col(geometry_column).alias("g"))
+    keyed = rows.select("n", "all", "g", F.explode_outer(key("g")).alias("k")).select("n", "all", "g", F.col("k.col").alias("c"), F.col("k.row").alias("r"))
+    met = keyed.join(shapes, ["c", "r"], "left")
+    code = F.when(st_intersects(F.when(F.col("shape").isNotNull(), F.col("g")), "shape"), F.col("code"))
+    found = met.groupBy("n").agg(F.first("all").alias("all"), F.sort_array(F.collect_set(code)).alias("countries"))
+    return found.select("all.*", "countries")
+
+
+def geocode(geoms: DataFrame, countries: list[tuple[str, Geometry]], geometry_column: str = "geom", max_bytes: int = MAX_BYTES) -> DataFrame:
     """Adds ``countries``: sorted codes of all countries that a geometry meets; empty for null or empty geometries.
 
-    The country polygons are broadcast (ValueError beyond ``MAX_BYTES`` of WKB); boxes exclude
-    most of them before the exact test.
+    The country polygons are broadcast while their WKB takes at most ``max_bytes``, and boxes
+    exclude most of them before the exact test; beyond, geometries and polygons meet in a
+    join on tiles.
     """
     packed = [(c, to_wkb(g)) for c, g in countries]
-    if (size := sum(len(w) for _, w in packed)) > MAX_BYTES:
-        raise ValueError(f"countries take {size} bytes, more than {MAX_BYTES}")
+    if sum(len(w) for _, w in packed) > max_bytes:
+        return _by_tiles(geoms, countries, geometry_column)
     shared = geoms.sparkSession.sparkContext.broadcast(packed)
     cache: dict = {}
 

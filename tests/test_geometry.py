@@ -157,3 +157,21 @@ def test_tolerant_geojson():
     assert [(g, i) for g, _, i in got] == [(None, "7"), ((POINT, (1.0, 2.0)), None)]
     out = geojson.write_collection(got)
     assert out["bbox"] == [1.0, 2.0, 1.0, 2.0] and out["features"][0]["geometry"]["type"] == "MultiPoint"
+
+
+def test_countries_by_broadcast_and_by_tiles(spark):
+    import random
+
+    from terrachron.geometry.udfs import st_geomfromtext
+    from terrachron.operators.geocode import geocode, read_countries
+
+    rng = random.Random(3)
+    shape = lambda x, y, r: f'[[{x - r}, {y - r}], [{x + r}, {y - r}], [{x}, {y + r}], [{x - r}, {y - r}]]'
+    features = [f'{{"type": "Feature", "properties": {{"ADM0_A3": "C{k}"}}, "geometry": {{"type": "Polygon", "coordinates": [{shape(rng.uniform(-150, 150), rng.uniform(-60, 60), rng.uniform(1, 25))}]}}}}' for k in range(25)]
+    countries = read_countries('{"type": "FeatureCollection", "features": [' + ", ".join(features) + "]}")
+    texts = [f"POINT ({rng.uniform(-170, 170)} {rng.uniform(-80, 80)})" for _ in range(60)]
+    texts += [f"LINESTRING ({rng.uniform(-170, 170)} 0, {rng.uniform(-170, 170)} {rng.uniform(-80, 80)})" for _ in range(20)] + [None, "POINT EMPTY", texts[0], texts[0]]
+    df = spark.createDataFrame([(k, t, {"a": "b"}) for k, t in enumerate(texts)], "n long, t string, countries0 map<string,string>").withColumn("geom", st_geomfromtext("t"))
+    one, two = (sorted((r.n, r.countries) for r in geocode(df, countries, max_bytes=size).collect()) for size in (1 << 20, 0))
+    assert one == two and len(one) == len(texts) and sum(bool(c) for _, c in one) > 20 and geocode(df, countries, max_bytes=0).columns == [*df.columns, "countries"]
+
