@@ -3,140 +3,40 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..schema import AUGMENTED_DIFF_DDL, CHANGE_DDL, CHANGESET_DDL, names_of
+from ..streaming.feeds import FeedStreamReader
 from . import feeds
-from .replication import (
-    BASE_URI,
-    BATCH_SIZE,
-    DB_URI,
-    END_SEQUENCE,
-    ERROR_HANDLER,
-    PARTITION_COUNT,
-    PROC_NAME,
-    RETRIES,
-    RETRY_DELAY,
-    START_SEQUENCE,
-    Checkpoints,
-)
-
-FETCHES_PER_TASK = 8
-
-
-@dataclass
-class Sequences(InputPartition):
-    numbers: list[int]
-
-
-def _fetched(feed: str, base: str, numbers: list[int], options: dict[str, str]) -> Iterator[tuple]:
-    """Rows of sequences, in their order, a few fetched at a time ahead of the one that is read."""
-    retries, delay = int(options.get(RETRIES, "4")), float(options.get(RETRY_DELAY, "15"))
-    handler = feeds.load_handler(options.get(ERROR_HANDLER), dict(options))
-    with ThreadPoolExecutor(FETCHES_PER_TASK) as pool:
-        ahead = []
-        left = iter(numbers)
-        for n in left:
-            ahead.append(pool.submit(feeds.fetch, feed, base, n, retries, delay, handler))
-            if len(ahead) == FETCHES_PER_TASK:
-                yield from ahead.pop(0).result()
-        for f in ahead:
-            yield from f.result()
-
-
-class _Options:
-    feed: str
-
-    def _init(self, options: dict[str, str]) -> None:
-        self.options = {k.lower(): v for k, v in options.items()}
-        self.base = self.options.get(BASE_URI) or feeds.DEFAULT_BASES.get(self.feed)
-        if not self.base:
-            raise ValueError(f"{BASE_URI} is required for {self.feed}")
-
-    def _number(self, key: str) -> int | None:
-        return int(self.options[key]) if self.options.get(key) else None
-
-    def _current(self) -> int | None:
-        return feeds.current_sequence(self.feed, self.base)
-
-
-class FeedReader(DataSourceReader, _Options):
+from .partitions import FeedOptions, Sequences, fetched
+from .replication import END_SEQUENCE, PARTITION_COUNT, START_SEQUENCE
+
+
+class FeedReader(DataSourceReader, FeedOptions):
     """Sequences from start (the current one by default) to before end (to the current one by default)."""
 
     def __init__(self, feed: str, options: dict[str, str], partitions: int) -> None:
         self.feed, self.default_partitions = feed, partitions
-        self._init(options)
+        self.read_options(options)
 
     def partitions(self) -> list[InputPartition]:
-        start, end = self._number(START_SEQUENCE), self._number(END_SEQUENCE)
-        start = start if start is not None else self._current()
+        start, end = self.number(START_SEQUENCE), self.number(END_SEQUENCE)
+        start = start if start is not None else self.current()
         if start is None:
             raise ValueError("Could not determine start sequence.")
-        last = end - 1 if end is not None else self._current()
+        last = end - 1 if end is not None else self.current()
         if last is None:
             raise ValueError("Could not determine end sequence.")
         numbers = list(range(start, last + 1))
-        count = max(1, min(self._number(PARTITION_COUNT) or self.default_partitions, len(numbers)))
+        count = max(1, min(self.number(PARTITION_COUNT) or self.default_partitions, len(numbers)))
         # Strides, so that busy hours spread over the tasks.
         return [Sequences(numbers[k::count]) for k in range(count)] if numbers else [Sequences([])]
 
     def read(self, partition: Sequences) -> Iterator[tuple]:
-        yield from _fetched(self.feed, self.base, partition.numbers, self.options)
-
-
-class FeedStreamReader(DataSourceStreamReader, _Options):
-    """A stream of sequences, at most ``batch_size`` a batch; ``end_sequence`` is the last one.
-
-    Offsets hold the last sequence done. Without a checkpoint of Spark's own, a stream begins
-    after the one stored under ``proc_name`` in ``db_uri``, at ``start_sequence``, or at the
-    current one.
-    """
-
-    def __init__(self, feed: str, options: dict[str, str], batch: int) -> None:
-        self.feed, self.default_batch = feed, batch
-        self._init(options)
-        self.name, self.store = self.options.get(PROC_NAME), self.options.get(DB_URI)
-        if self.store and not self.name:
-            raise ValueError(f"{PROC_NAME} is required with {DB_URI}")
-        self.cursor: int | None = None
-
-    def initialOffset(self) -> dict:
-        done = Checkpoints(self.store).get(self.name) if self.store else None
-        if done is None:
-            start = self._number(START_SEQUENCE)
-            if start is None:
-                start = self._current()
-            if start is None:
-                raise ValueError("Could not determine start sequence.")
-            done = start - 1
-        if self.cursor is None:
-            self.cursor = done
-        return {"sequence": done}
-
-    def latestOffset(self) -> dict:
-        if self.cursor is None:
-            self.cursor = self.initialOffset()["sequence"]
-        now, end = self._current(), self._number(END_SEQUENCE)
-        limit = end if now is None and end is not None else now if end is None else min(now, end) if now is not None else None
-        if limit is not None and limit > self.cursor:
-            self.cursor = min(limit, self.cursor + (self._number(BATCH_SIZE) or self.default_batch))
-        return {"sequence": self.cursor}
-
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self.cursor = max(self.cursor or 0, end["sequence"])
-        return [Sequences([n]) for n in range(start["sequence"] + 1, end["sequence"] + 1)]
-
-    def read(self, partition: Sequences) -> Iterator[tuple]:
-        yield from _fetched(self.feed, self.base, partition.numbers, self.options)
-
-    def commit(self, end: dict) -> None:
-        if self.store:
-            Checkpoints(self.store).put(self.name, end["sequence"])
+        yield from fetched(self.feed, self.base, partition.numbers, self.options)
 
 
 class _Feed(DataSource):
@@ -152,7 +52,7 @@ class _Feed(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return FeedReader(self.name(), dict(self.options), self._partitions())
 
-    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> FeedStreamReader:
         if schema.names != names_of(self.ddl):
             raise ValueError(f"{self.name()} has a schema of its own")
         return FeedStreamReader(self.name(), dict(self.options), self._partitions())

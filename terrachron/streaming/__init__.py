@@ -1 +1 @@
-
+"""Streaming readers of the feeds."""
