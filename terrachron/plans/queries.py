@@ -94,7 +94,7 @@ def way_vertices(spark: SparkSession, d: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), real(F.sum("lon"), 3).alias("sum_lon"), real(F.sum("lat"), 3).alias("sum_lat"), F.min("idx").alias("first_idx"))
 
 
-#: Lines only: whether a polygon is valid is beyond SQL.
+#: Ways whose tags say no area; whether a polygon is valid is beyond SQL (see way_shapes).
 LINES_SQL = f"""{VERTICES_SQL}, wl AS (
   SELECT changeset, id, version, updated, count(*)::INTEGER AS n, bool_or(isnan(lon) OR isnan(lat) OR lon IS NULL OR lat IS NULL) AS bad,
          count(DISTINCT {{'x': lon, 'y': lat}}) AS places, list({{'x': lon, 'y': lat}} ORDER BY idx) AS xy, any_value(tags) AS tags
@@ -105,9 +105,9 @@ LINES_SQL = f"""{VERTICES_SQL}, wl AS (
 @query(f"""WITH {LINES_SQL} SELECT changeset, id, version, CASE WHEN bad OR (n > 1 AND places = 1) THEN NULL WHEN n = 1 THEN 'point' ELSE 'linestring' END AS kind,
 CASE WHEN bad OR (n > 1 AND places = 1) THEN 0 ELSE n END AS n_points,
 CASE WHEN bad OR (n > 1 AND places = 1) THEN NULL WHEN n = 1 THEN 0.0 ELSE round(list_sum(list_transform(range(1, n), lambda i: sqrt((xy[i + 1].x - xy[i].x) ** 2 + (xy[i + 1].y - xy[i].y) ** 2))), 3) END AS length
-FROM wl WHERE tags LIKE '%highway%'""")
+FROM wl WHERE tags NOT LIKE '%building%'""")
 def way_line_stats(spark: SparkSession, d: str) -> DataFrame:
-    df = history.reconstruct_way_geometries(derive.way_history(spark, d), derive.node_history(spark, d)).where(tags.is_road("tags"))
+    df = history.reconstruct_way_geometries(derive.way_history(spark, d), derive.node_history(spark, d)).where(~tags.is_area("tags"))
     n = F.when(F.col("geom").isNotNull(), udfs.st_numpoints("geom")).otherwise(0)
     return df.select("changeset", "id", "version", udfs.st_geometrytype("geom").alias("kind"), n.alias("n_points"), real(udfs.st_length("geom"), 3).alias("length"))
 
@@ -171,16 +171,8 @@ def snapshot_ways(spark: SparkSession, d: str) -> DataFrame:
     return snapshot(_way_geometries(spark, d), F.lit("1999-06-01 00:00:00").cast("timestamp")).select("changeset", "id", "version")
 
 
-@query(f"""WITH {POINTS_SQL} SELECT pl.changeset, pl.id, o_custkey AS uid, 'c' || o_custkey AS "user" FROM pl JOIN orders ON changeset = o_orderkey WHERE o_orderkey % 2 = 0""")
-def user_metadata(spark: SparkSession, d: str) -> DataFrame:
-    sets = table(spark, d, "orders").where(F.col("o_orderkey") % 2 == 0)
-    sets = sets.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("uid"), F.concat(F.lit("c"), F.col("o_custkey")).alias("user"))
-    return add_user_metadata(history.construct_point_geometries(derive.node_history(spark, d)), sets).select("changeset", "id", "uid", "user")
-
-
 @query(f"""WITH {POINTS_SQL} SELECT pl.changeset, pl.id, o_custkey AS uid, 'c' || o_custkey AS "user" FROM pl JOIN orders ON changeset = o_orderkey""")
-def user_metadata_all(spark: SparkSession, d: str) -> DataFrame:
-    """Like user_metadata, with every changeset."""
+def user_metadata(spark: SparkSession, d: str) -> DataFrame:
     sets = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("uid"), F.concat(F.lit("c"), F.col("o_custkey")).alias("user"))
     return add_user_metadata(history.construct_point_geometries(derive.node_history(spark, d)), sets).select("changeset", "id", "uid", "user")
 
@@ -291,20 +283,10 @@ QUERIES["tags_remove_semi_interesting"] = _cleaned(tags.remove_semi_interesting_
 SQL["tags_remove_semi_interesting"] = _cleaned_sql("lower(k) = 'source' OR lower(k) LIKE 'source:%'", "false")
 
 
-@query("""WITH p AS (SELECT user_id, event_type AS k, list_sort(list_distinct(list((event_id % 3)::VARCHAR))) AS v FROM events WHERE event_id % 11 < 2 GROUP BY 1, 2)
-SELECT user_id, string_agg(k || '=' || array_to_string(v, ';'), ',' ORDER BY k || '=' || array_to_string(v, ';')) AS tags FROM p GROUP BY 1""")
-def tags_reduce(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where(F.col("event_id") % 11 < 2)
-    e = e.select("user_id", F.create_map("event_type", (F.col("event_id") % 3).cast("string")).alias("t"))
-    e = e.groupBy("user_id").agg(tags.reduce_tags(F.collect_list("t")).alias("t"))
-    ordered = F.transform_values("t", lambda k, v: F.array_join(F.array_sort(F.split(v, ";")), ";"))
-    return e.select("user_id", tags_text(ordered).alias("tags"))
-
-
 @query("""WITH p AS (SELECT user_id, event_type AS k, list_sort(list_distinct(list((event_id % 3)::VARCHAR))) AS v FROM events GROUP BY 1, 2)
 SELECT user_id, string_agg(k || '=' || array_to_string(v, ';'), ',' ORDER BY k || '=' || array_to_string(v, ';')) AS tags FROM p GROUP BY 1""")
-def tags_reduce_all(spark: SparkSession, d: str) -> DataFrame:
-    """Like tags_reduce, over all events; a user's equal pairs are reduced once."""
+def tags_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of all events by user; a user's equal pairs are reduced once."""
     e = table(spark, d, "events").select("user_id", "event_type", (F.col("event_id") % 3).cast("string").alias("v")).distinct()
     e = e.groupBy("user_id").agg(tags.reduce_tags(F.collect_list(F.create_map("event_type", "v"))).alias("t"))
     ordered = F.transform_values("t", lambda k, v: F.array_join(F.array_sort(F.split(v, ";")), ";"))

@@ -47,7 +47,7 @@ def test_entry_imports():
 def test_user_metadata_of_every_changeset(spark):
     from terrachron.osm import add_user_metadata
 
-    found = {r.changeset % 2 for r in QUERIES["user_metadata_all"](spark, SF).select("changeset").distinct().collect()}
+    found = {r.changeset % 2 for r in QUERIES["user_metadata"](spark, SF).select("changeset").distinct().collect()}
     assert found == {0, 1}
     geoms = spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "changeset long, id long")
     sets = spark.createDataFrame([(1, 7, "a"), (2, 8, "b"), (9, 9, "c")], "id long, uid long, user string")
@@ -55,6 +55,6 @@ def test_user_metadata_of_every_changeset(spark):
 
 
 def test_tags_reduce_of_every_event(spark, db):
-    got = QUERIES["tags_reduce_all"](spark, SF)
+    got = QUERIES["tags_reduce"](spark, SF)
     assert got.count() == db.execute("SELECT count(DISTINCT user_id) FROM events").fetchone()[0]
     assert got.where("tags LIKE '%0;1;2%'").count() > 0
