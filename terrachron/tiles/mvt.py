@@ -46,16 +46,14 @@ def _value(v: object) -> bytes:
     return _field(1, str(v).encode())
 
 
-def _point_bodies(points: list, box: tuple[float, float, float, float], extent: int) -> list[bytes]:
-    """Type and geometry fields of single points."""
-    x0, y0, x1, y1 = box
-    c = coords(points)
-    q = np.stack([(c[:, 0] - x0) / (x1 - x0), (y1 - c[:, 1]) / (y1 - y0)], axis=1) * extent
+def point_shapes(xy: np.ndarray, boxes: np.ndarray, extent: int) -> list[bytes]:
+    """Type and geometry fields of single points [n, 2] in their tiles' boxes [n, 4]."""
+    x0, y0, x1, y1 = boxes.T
+    q = np.stack([(xy[:, 0] - x0) / (x1 - x0), (y1 - xy[:, 1]) / (y1 - y0)], axis=1) * extent
     q = np.floor(q + 0.5).astype(np.int64)
-    zigzag = (q << 1) ^ (q >> 63)
     known: dict[tuple[int, int], bytes] = {}
     out = []
-    for at in map(tuple, zigzag.tolist()):
+    for at in map(tuple, ((q << 1) ^ (q >> 63)).tolist()):
         if at not in known:
             known[at] = b"\x18\x01" + _field(4, b"\x09" + _varint(at[0]) + _varint(at[1]))
         out.append(known[at])
@@ -111,45 +109,54 @@ def _commands(g: Geometry, box: tuple[float, float, float, float], extent: int)
     return out
 
 
-def layer(name: str, features: Iterable[Feature], box: tuple[float, float, float, float], extent: int, order_areas: bool = False) -> bytes:
-    """A layer of features by kind; polygons by falling area if ``order_areas``. Empty geometries are left out."""
-    some = [(g, a) for g, a in features if g is not None and not is_empty(g)]
-    flat = [(p, a) for g, a in some for p in (g[1] if g[0] == COLLECTION else [g]) if not is_empty(p)]
-    flat.sort(key=lambda f: (ORDER[f[0][0]], -area(f[0]) if order_areas and f[0][0] in (POLYGON, MULTIPOLYGON) else 0))
+#: What a feature is in a layer: (kind's order, area or 0, type and geometry fields).
+Shape = tuple[int, float, bytes]
+
+
+def shapes(g: Geometry | None, box: tuple[float, float, float, float], extent: int, order_areas: bool = False) -> list[Shape]:
+    """A geometry as features of a tile; a collection gives one for each part, an empty or vanishing geometry none."""
+    out: list[Shape] = []
+    for p in [] if g is None or is_empty(g) else g[1] if g[0] == COLLECTION else [g]:
+        commands = _commands(p, box, extent) if not is_empty(p) else []
+        if commands:
+            size = area(p) if order_areas and p[0] in (POLYGON, MULTIPOLYGON) else 0.0
+            out.append((ORDER[p[0]], size, _varint(3 << 3) + _varint(_TYPE[p[0]]) + _field(4, b"".join(map(_varint, commands)))))
+    return out
+
+
+def tags(attributes: dict) -> list[tuple[str, bytes]]:
+    """Names and encoded values of attributes; null ones are left out."""
+    return [(k, _value(v)) for k, v in attributes.items() if v is not None]
+
+
+def assembled(name: str, features: Iterable[tuple[Shape, list[tuple[str, bytes]]]], extent: int) -> bytes:
+    """A layer of encoded features: by kind, polygons by falling area if they have one."""
     keys: dict[str, int] = {}
-    values: dict[tuple, int] = {}
-    blobs: list[bytes] = []
-    made = []
-    bodies = iter(_point_bodies([g[1] for g, _ in flat if g[0] == POINT], box, extent))
+    values: dict[bytes, int] = {}
     told: dict[tuple[int, ...], bytes] = {}
-    for g, attributes in flat:
-        if g[0] == POINT:
-            shape = next(bodies)
-        else:
-            commands = _commands(g, box, extent)
-            if not commands:
-                continue
-            shape = _varint(3 << 3) + _varint(_TYPE[g[0]]) + _field(4, b"".join(map(_varint, commands)))
-        tags: list[int] = []
-        for k, v in attributes.items():
-            if v is None:
-                continue
-            at = (type(v), v)
-            if at not in values:
-                values[at] = len(values)
-                blobs.append(_value(v))
-            tags += [keys.setdefault(k, len(keys)), values[at]]
-        said = tuple(tags)
+    made = []
+    for (_, _, shape), pairs in sorted(features, key=lambda f: (f[0][0], -f[0][1])):
+        said = tuple(x for k, v in pairs for x in (keys.setdefault(k, len(keys)), values.setdefault(v, len(values))))
         if said not in told:
-            told[said] = _field(2, b"".join(map(_varint, tags))) if tags else b""
+            told[said] = _field(2, b"".join(map(_varint, said))) if said else b""
         made.append(_field(2, told[said] + shape))
     out = _varint(15 << 3) + _varint(2) + _field(1, name.encode()) + b"".join(made)
-    out += b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, b) for b in blobs)
+    out += b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, v) for v in values)
     return out + _varint(5 << 3) + _varint(extent)
 
 
+def layer(name: str, features: Iterable[Feature], box: tuple[float, float, float, float], extent: int, order_areas: bool = False) -> bytes:
+    """A layer of features by kind; polygons by falling area if ``order_areas``. Empty geometries are left out."""
+    return assembled(name, [(s, tags(a)) for g, a in features for s in shapes(g, box, extent, order_areas)], extent)
+
+
+def joined(layers: Iterable[bytes]) -> bytes:
+    """A tile of encoded layers."""
+    return b"".join(_field(3, x) for x in layers)
+
+
 def tile(layers: dict[str, list[Feature]], box: tuple[float, float, float, float], extent: int, order_areas: bool = False) -> bytes:
-    return b"".join(_field(3, layer(n, f, box, extent, order_areas)) for n, f in layers.items())
+    return joined(layer(n, f, box, extent, order_areas) for n, f in layers.items())
 
 
 # --------------------------------------------------------------------------- reading

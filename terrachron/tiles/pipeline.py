@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -140,9 +141,10 @@ def _simplified(p: Pipeline, level: TileLevel, geom: str) -> Column:
 def level_tiles(df: DataFrame, p: Pipeline, level: TileLevel, key_column: str, options: Options) -> DataFrame:
     """zoom, col, row, mvt of the tiles of keyed rows.
 
-    Rows are spread to tiles by one shuffle on the tile; a tile's features come to its
-    task in Arrow batches, clipped and packed there, so that geometries cross to Python
-    once. A tile whose features outgrow a task must be thinned by ``reduce`` or ``select``.
+    Geometries are clipped and encoded where they are, a row a tile and feature, so that a
+    tile with very many features takes no longer than others there; what meets in the
+    shuffle on the tile is encoded bytes, which its task only has to number and join. A tile
+    whose own bytes outgrow a task must be thinned by ``reduce`` or ``select``.
     """
     chosen = p.select(df, level.zoom, key_column)
     geom, attributes = p.geometry_column, list(p.attributes)
@@ -157,18 +159,50 @@ def level_tiles(df: DataFrame, p: Pipeline, level: TileLevel, key_column: str, o
     ).select("k.col", "k.row", "layer", "geom", "attributes")
     zoom, order_areas = level.zoom, options.order_areas
 
-    def encode(key: tuple, table: pa.Table) -> pa.Table:
-        col, row = key[0].as_py(), key[1].as_py()
-        box = level.box(col, row)
-        layers: dict[str, list[mvt.Feature]] = {}
-        for name, wkb, more in zip(*(table[c].to_pylist() for c in ("layer", "geom", "attributes"))):
-            more.pop("_")
-            if wkb is not None and name is not None:
-                layers.setdefault(name, []).append((p.clip(from_wkb(wkb), box, level), p.pack(more, zoom)))
-        made = mvt.tile(dict(sorted(layers.items())), box, extent, order_areas)
-        return pa.table({"zoom": pa.array([zoom], pa.int32()), "col": pa.array([col], pa.int32()), "row": pa.array([row], pa.int32()), "mvt": [made]})
-
-    return rows.groupBy("col", "row").applyInArrow(encode, "zoom int, col int, row int, mvt binary")
+    plain = not _overrides(p, "clip")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(3).to_pylist()
+            tile = [b.column(k).to_pylist() for k in (0, 1)]
+            cols: list[list] = [[] for _ in _FEATURE]
+            quick: dict[int, bytes] = {}
+            if plain:  # points need no clipping: the batch is encoded at once
+                rows = [k for k, g in enumerate(raw) if g is not None and len(g) == 21 and g[:5] == b"\x01\x01\0\0\0"]
+                xy = np.frombuffer(b"".join(raw[k][5:] for k in rows), "<f8").reshape(-1, 2)
+                boxes = np.array([level.box(tile[0][k], tile[1][k]) for k in rows], float).reshape(-1, 4)
+                good = np.isfinite(xy).all(axis=1)
+                quick = dict(zip(np.array(rows, int)[good].tolist(), mvt.point_shapes(xy[good], boxes[good], extent)))
+            for k, (col, row, name, g, more) in enumerate(zip(*tile, b.column(2).to_pylist(), raw, b.column(4).to_pylist())):
+                if g is None or name is None:
+                    continue
+                more.pop("_")
+                if k in quick:
+                    made = [(0, 0.0, quick[k])]
+                else:
+                    box = level.box(col, row)
+                    made = mvt.shapes(p.clip(from_wkb(g), box, level), box, extent, order_areas)
+                pairs = [{"k": x, "v": v} for x, v in mvt.tags(p.pack(more, zoom))] if made else []
+                for order, size, shape in made:
+                    for c, v in zip(cols, (col, row, name, order, size, shape, pairs)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FEATURE.values())], names=list(_FEATURE))
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        layers: dict[str, list] = {}
+        for name, order, size, shape, pairs in zip(*(table[c].to_pylist() for c in ("layer", "kind", "area", "shape", "tags"))):
+            layers.setdefault(name, []).append(((order, size, shape), [(x["k"], x["v"]) for x in pairs]))
+        made = mvt.joined(mvt.assembled(n, f, extent) for n, f in sorted(layers.items()))
+        return pa.table({"zoom": pa.array([zoom], pa.int32()), "col": table["col"][:1], "row": table["row"][:1], "mvt": [made]})
+
+    schema = "col int, row int, layer string, kind int, area double, shape binary, tags array<struct<k:string,v:binary>>"
+    return rows.mapInArrow(encode, schema).groupBy("col", "row").applyInArrow(join, "zoom int, col int, row int, mvt binary")
+
+
+_FEATURE = {
+    "col": pa.int32(), "row": pa.int32(), "layer": pa.string(), "kind": pa.int32(), "area": pa.float64(), "shape": pa.binary(),
+    "tags": pa.list_(pa.struct([("k", pa.string()), ("v", pa.binary())])),
+}
 
 
 def make_tiles(df: DataFrame, pipeline: Pipeline, options: Options) -> Iterator[DataFrame]:
