@@ -20,18 +20,19 @@ class Sequences(InputPartition):
 
 
 def fetched(feed: str, base: str, numbers: list[int], options: dict[str, str]) -> Iterator[tuple]:
-    """Rows of sequences, in their order, a few fetched at a time ahead of the one that is read."""
+    """Rows of sequences, in their order: a few files are fetched ahead, rows are made only of the one that is read."""
     retries, delay = int(options.get(RETRIES, "4")), float(options.get(RETRY_DELAY, "15"))
     handler = feeds.load_handler(options.get(ERROR_HANDLER), dict(options))
     with ThreadPoolExecutor(FETCHES_PER_TASK) as pool:
         ahead = []
         left = iter(numbers)
         for n in left:
-            ahead.append(pool.submit(feeds.fetch, feed, base, n, retries, delay, handler))
+            ahead.append((n, pool.submit(feeds.opened, feed, base, n, retries, delay)))
             if len(ahead) == FETCHES_PER_TASK:
-                yield from ahead.pop(0).result()
-        for f in ahead:
-            yield from f.result()
+                n, f = ahead.pop(0)
+                yield from feeds.rows_of(feed, f.result(), n, handler)
+        for n, f in ahead:
+            yield from feeds.rows_of(feed, f.result(), n, handler)
 
 
 class FeedOptions:

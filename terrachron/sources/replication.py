@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import gzip
+import io
 import os
 import re
 import threading
@@ -12,6 +13,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable
+from typing import BinaryIO, TypeVar
 
 BASE_URI, BATCH_SIZE, DB_URI, PARTITION_COUNT = "base_uri", "batch_size", "db_uri", "partition_count"
 PROC_NAME, START_SEQUENCE, END_SEQUENCE, ERROR_HANDLER = "proc_name", "start_sequence", "end_sequence", "error_handler"
@@ -64,7 +66,10 @@ def sequence_path(sequence: int, suffix: str) -> str:
     return f"{s[:3]}/{s[3:6]}/{s[6:]}{suffix}"
 
 
-def retried(read: Callable[[], bytes], retries: int, delay: float, until: Callable[[], bool] | None = None) -> bytes:
+T = TypeVar("T")
+
+
+def retried(read: Callable[[], T], retries: int, delay: float, until: Callable[[], bool] | None = None) -> T:
     """What ``read`` gives, tried again where it is missing or broken off; Missing in the end, or once ``until`` holds."""
     for attempt in range(retries + 1):
         try:
@@ -76,8 +81,19 @@ def retried(read: Callable[[], bytes], retries: int, delay: float, until: Callab
     raise AssertionError
 
 
-def gunzipped(b: bytes) -> bytes:
-    return gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b
+def opened_uri(uri: str) -> BinaryIO:
+    """A stream of the unzipped content of a URI, of which only a file on a disk is never in memory as a whole."""
+    parsed = urllib.parse.urlparse(uri)
+    if parsed.scheme in ("", "file"):
+        try:
+            f: BinaryIO = open(parsed.path or uri, "rb")  # noqa: SIM115
+        except FileNotFoundError as e:
+            raise Missing(uri) from e
+    else:
+        f = io.BytesIO(read_uri(uri))
+    zipped = f.read(2) == b"\x1f\x8b"
+    f.seek(0)
+    return gzip.GzipFile(fileobj=f) if zipped else f
 
 
 # --------------------------------------------------------------------------- state

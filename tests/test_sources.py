@@ -148,3 +148,24 @@ def test_osm_xml(spark, tmp_path):
     )
     rows = read_osm_xml(spark, str(tmp_path / "a.osm")).orderBy("id").collect()
     assert [r.type for r in rows] == ["node", "way"] and rows[0].tags == {"a": "b"} and rows[1].nds[0].ref == 1
+
+
+def test_memory_does_not_grow_with_a_file(tmp_path):
+    """Rows come as the file is read: changes, changesets and diffs of 30 MB and more."""
+    import tracemalloc
+
+    change = '<create><node id="1" version="1" timestamp="2020-01-01T00:00:00Z" changeset="5" lat="1" lon="2"><tag k="a" v="' + "b" * 900 + '"/></node></create>'
+    changeset = '<changeset id="1" created_at="2020-01-01T00:00:00Z" open="true"><tag k="comment" v="' + "b" * 900 + '"/></changeset>'
+    diff = json.dumps({"features": [{"type": "Feature", "id": "new", "properties": {"id": "1", "type": "way", "tags": {"a": "b" * 900}}, "geometry": None}]})
+    n = 30_000
+    for feed, suffix, text, head, tail in (
+        ("changes", ".osc.gz", change, "<osmChange>", "</osmChange>"), ("changes", ".osc.gz", change[8:-9], "<osmChange><create>", "</create></osmChange>"),
+        ("changesets", ".osm.gz", changeset, "<osm>", "</osm>"), ("augmented-diffs", ".json.gz", diff, "", ""),
+    ):
+        put(tmp_path / f"000/000/001{suffix}", gzip.compress((head + "\n".join([text] * n) + tail).encode(), 1))
+        tracemalloc.start()
+        found = feeds.opened(feed, f"file://{tmp_path}", 1, 0, 0)
+        assert sum(1 for _ in feeds.rows_of(feed, found, 1)) == n
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 5e6, feed
