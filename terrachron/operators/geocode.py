@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..geometry.geojson import read_collection
-from ..geometry.planar import intersects
+from ..geometry.planar import inside_ring, intersects, on_ring
 from ..geometry.udfs import st_intersects
-from ..geometry.wkb import MULTIPOLYGON, POLYGON, Geometry, all_coords, from_wkb, is_empty, to_wkb
+from ..geometry.wkb import MULTIPOLYGON, POLYGON, Geometry, all_coords, coords, from_wkb, is_empty, to_wkb
 from ..tiles.grid import key_to, zoomed
 
 MAX_BYTES = 256 << 20
@@ -45,6 +45,30 @@ def _by_tiles(geoms: DataFrame, countries: list[tuple[str, Geometry]], geometry_
     return found.select("all.*", "countries")
 
 
+#: Pairs of points and edges that are tested at a time.
+PAIRS = 1 << 18
+
+
+def _of_points(raw: list[bytes | None], shapes: dict) -> dict[int, list[str]]:
+    """Sorted codes of the plain points among geometries: each polygon is tested for all points in its box at once."""
+    rows = [k for k, b in enumerate(raw) if b is not None and len(b) == 21 and b[:5] == b"\x01\x01\0\0\0"]
+    xy = np.frombuffer(b"".join([raw[k][5:] for k in rows]), "<f8").reshape(-1, 2)
+    good = ~np.isnan(xy).any(axis=1)
+    rows, xy = np.array(rows, int)[good].tolist(), xy[good]
+    found: list[set[str]] = [set() for _ in rows]
+    for code, (_, body), lo, hi in zip(shapes["codes"], shapes["shapes"], shapes["lo"], shapes["hi"]):
+        near = np.flatnonzero(((xy >= lo) & (xy <= hi)).all(axis=1))
+        rings = [coords(r) for r in body]
+        step = max(1, PAIRS // sum(map(len, rings)))
+        for at in range(0, len(near), step):
+            part = near[at : at + step]
+            p = xy[part]
+            meets = np.any([on_ring(p, r) for r in rings], axis=0) | (np.sum([inside_ring(p, r) for r in rings], axis=0) % 2 == 1)
+            for k in part[meets].tolist():
+                found[k].add(code)
+    return {k: sorted(f) for k, f in zip(rows, found)}
+
+
 def geocode(geoms: DataFrame, countries: list[tuple[str, Geometry]], geometry_column: str = "geom", max_bytes: int = MAX_BYTES) -> DataFrame:
     """Adds ``countries``: sorted codes of all countries that a geometry meets; empty for null or empty geometries.
 
@@ -70,7 +94,12 @@ def geocode(geoms: DataFrame, countries: list[tuple[str, Geometry]], geometry_co
             cache["hi"] = np.array([e.max(0) for e in ends]).reshape(-1, 2)
         for batch in batches:
             out = []
-            for wkb in batch:
+            raw = [None if b is None else bytes(b) for b in batch]
+            quick = _of_points(raw, cache)
+            for k, wkb in enumerate(raw):
+                if k in quick:
+                    out.append(quick[k])
+                    continue
                 g = from_wkb(wkb)
                 if g is None or is_empty(g):
                     out.append([])

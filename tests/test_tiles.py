@@ -105,3 +105,37 @@ def test_mixed_geometries_get_their_tiles():
     raw += [None, to_wkb((POINT, None)), to_wkb((POINT, (5.0, float("nan"))))][:2]
     got = [[(k["col"], k["row"]) for k in keys] for keys in grid._batch_keys(raw, level).to_pylist()]
     assert got == [grid.keys_of(g, level) for g in raw]
+
+
+def test_level_tiles_are_simplified(spark):
+    """A line with a spike lower than a cell: the tile's feature has two points, as the pyramid's."""
+    from terrachron.geometry.wkb import from_wkt
+    from terrachron.tiles.pipeline import SimplifyToCell, level_tiles
+
+    level = grid.zoomed(3)
+    e = level.cell_size / 3
+    rows = [(bytearray(to_wkb(from_wkt(f"LINESTRING (10 10, 1e6 {10 + e}, 2e6 10)"))),)]
+    df = spark.createDataFrame(rows, "geom binary").withColumn("_keys", grid.key_to(level)("geom"))
+    (tile,) = level_tiles(df, SimplifyToCell(), level, "_keys", Options((level,), tile_extent=1 << 30)).collect()
+    read = mvt.read(tile.mvt)["features"]
+    assert [len(p) for p in read["features"][0]["paths"]] == [2] and mvt.counts(tile.mvt) == {"features": 1}
+
+
+def test_points_in_batches_meet_what_one_by_one_they_do():
+    from terrachron.geometry.planar import intersects, reproject
+    from terrachron.geometry.udfs import _reprojected
+    from terrachron.geometry.wkb import POINT, all_coords, from_wkt
+    from terrachron.operators.geocode import _of_points
+
+    shapes = [from_wkt("POLYGON ((0 0, 6 0, 0 6, 0 0))"), from_wkt("POLYGON ((1 1, 9 1, 9 9, 1 9, 1 1), (3 3, 5 3, 5 5, 3 5, 3 3))")]
+    ends = [all_coords(g) for g in shapes]
+    cache = {"codes": ["b", "a"], "shapes": shapes, "lo": np.array([e.min(0) for e in ends]), "hi": np.array([e.max(0) for e in ends])}
+    points = [(POINT, (x / 2, y / 2)) for x in range(-1, 20) for y in range(-1, 20)]
+    raw = [to_wkb(p) for p in points] + [None, to_wkb((LINE, np.array([[0.0, 0], [1, 1]])))]
+    found = _of_points(raw, cache)
+    assert [found.get(k) for k in range(len(raw))] == [sorted(c for c, g in zip("ba", shapes) if intersects(p, g)) for p in points] + [None, None]
+    n = len(raw)
+    alone = [None if b is None else to_wkb(reproject(g, "EPSG:4326", "EPSG:3857")) for b, g in zip(raw, [*points, None, (LINE, np.array([[0.0, 0], [1, 1]]))])]
+    got = _reprojected(raw, ["EPSG:4326"] * n, ["EPSG:3857"] * n)
+    assert [np.frombuffer(b[5:21], "<f8").tolist() for b in got[: n - 2]] == [pytest.approx(np.frombuffer(b[5:21], "<f8").tolist(), rel=1e-14, abs=1e-9) for b in alone[: n - 2]]
+    assert got[n - 2 :] == alone[n - 2 :]
