@@ -69,3 +69,28 @@ def test_small_rings(monkeypatch):
     small = [planar.is_simple_ring(c) for c in rings]
     monkeypatch.setattr(planar, "SMALL_RING", 0)
     assert small == [planar.is_simple_ring(c) for c in rings] and 100 < sum(small) < 2900
+
+
+def test_relations_as_their_members_change(spark, elements):
+    """Members of each time are those that the join of all members with all times gives."""
+    from terrachron.geometry.udfs import build_multipolygon, build_routes
+
+    r = random.Random(5)
+    at = lambda d: dt.datetime(2020, 1, 1) + dt.timedelta(days=d)
+    rows = []
+    for n in range(6):
+        for v in (1, 2):
+            members = [(r.choice(("way", "way", "node")), r.randint(0, 8), r.choice(("", "outer", "inner", "x"))) for _ in range(r.randint(0, 3))]
+            rows.append((n, "relation", {"type": ("route", "multipolygon")[n % 2]}, None, None, None, members, 100 + 2 * n + v, at(3 * v + n), 1, "u", v, True))
+    relations = history.preprocess_relations(spark.createDataFrame(rows, ELEMENT_DDL))
+    geoms = history.reconstruct_way_geometries(elements, elements).localCheckpoint()
+    timeline = history.relation_timeline(relations, geoms)
+    listed = F.sort_array(F.collect_list(F.struct("pos", "ref", "type", "role", "geom"))).alias("members")
+    joined = history.with_member_geometries(history.relation_members(timeline, relations), geoms).where("type is not null")
+    show = lambda df: sorted(map(str, df.select("id", "changeset", "version", "minorVersion", "updated", "validUntil", "geom").collect()))
+    grouped = joined.groupBy(*history.KEYS).agg(listed)
+    want = grouped.where("id % 2 = 0").select("*", F.explode(build_routes("members")).alias("p")).withColumn("geom", F.col("p.geom"))
+    found = show(history.reconstruct_routes(relations, geoms))
+    assert found == show(want) and any("geom=bytearray" in x or "geom=b" in x for x in found) and any("geom=None" in x for x in found)
+    used = joined.where(F.col("role").isin("", "outer", "inner")).groupBy(*history.KEYS).agg(listed).where("id % 2 = 1")
+    assert show(history.reconstruct_multipolygons(relations, geoms)) == show(used.withColumn("geom", build_multipolygon("members")))
