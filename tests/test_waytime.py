@@ -94,3 +94,12 @@ def test_relations_as_their_members_change(spark, elements):
     assert found == show(want) and any("geom=bytearray" in x or "geom=b" in x for x in found) and any("geom=None" in x for x in found)
     used = joined.where(F.col("role").isin("", "outer", "inner")).groupBy(*history.KEYS).agg(listed).where("id % 2 = 1")
     assert show(history.reconstruct_multipolygons(relations, geoms)) == show(used.withColumn("geom", build_multipolygon("members")))
+
+
+def test_a_timeline_meets_relations_without_another_shuffle(elements):
+    ways, moved = history.preprocess_ways(elements), history.moved_nodes(elements)
+    timeline = history.way_timeline(ways, moved)
+    plan = timeline._jdf.queryExecution().executedPlan().toString()
+    joined = timeline.join(ways.select("id", "tags").hint("merge"), "id")._jdf.queryExecution().executedPlan().toString()
+    # The nodes' and ways' windows and the lookup, and one on the way; the join adds that of its other side alone.
+    assert joined.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning") + 1
